@@ -1,0 +1,5 @@
+"""No streaming operators: every source here is a finished file.
+
+The season functions and ``preprocess`` are stateless column expressions, so they can
+be applied to a streaming DataFrame unchanged.
+"""
