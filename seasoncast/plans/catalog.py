@@ -23,6 +23,7 @@ from seasoncast.functions.season import (
 )
 from seasoncast.operators import encode, medians, prep, ranking, reshape
 from seasoncast.operators.evaluate import eos_abs_diff, score_forecast_season
+from seasoncast.operators.impute import knn_impute
 from seasoncast.operators.last_date import rows_at_last_date
 from seasoncast.plans import report
 from seasoncast.sources import tables
@@ -338,6 +339,49 @@ def one_hot(spark, sf_dir):
     )
 
 
+def _impute_sql() -> str:
+    months = range(10)
+    key = "o_orderpriority, season, geography"
+    wide = ", ".join(f"max(estimate) FILTER ({MONTH} = {m}) AS m{m}" for m in months)
+    total = " + ".join(f"coalesce((a.m{m} - b.m{m}) * (a.m{m} - b.m{m}), 0)" for m in months)
+    common = " + ".join(f"(a.m{m} IS NOT NULL AND b.m{m} IS NOT NULL)::INTEGER" for m in months)
+    cells = " UNION ALL ".join(
+        f"SELECT {key}, {m} AS m, m{m} AS y FROM wide" for m in months
+    )
+    out = ", ".join(f"round(max(y) FILTER (m = {m}), 9) AS \"{m}\"" for m in months)
+    return f"""WITH {_panel_sql("o_orderpriority")},
+wide AS (SELECT {key}, {wide} FROM data GROUP BY ALL),
+cells AS ({cells}),
+pairs AS (SELECT a.o_orderpriority, a.season, a.geography, b.season AS s2, b.geography AS g2,
+    {total} AS total, {common} AS common FROM wide a JOIN wide b USING (o_orderpriority)),
+ranked AS (SELECT c.o_orderpriority, c.season, c.geography, c.m, d.y,
+    row_number() OVER (PARTITION BY c.o_orderpriority, c.season, c.geography, c.m
+                       ORDER BY (10::DOUBLE / common) * total, d.y) AS place
+  FROM cells c JOIN pairs p USING (o_orderpriority, season, geography)
+  JOIN cells d ON d.o_orderpriority = p.o_orderpriority AND d.season = p.s2
+    AND d.geography = p.g2 AND d.m = c.m
+  WHERE c.y IS NULL AND d.y IS NOT NULL AND common > 0),
+near AS (SELECT {key}, m, avg(y) AS y FROM ranked WHERE place <= 2 GROUP BY ALL),
+means AS (SELECT o_orderpriority, m, avg(y) AS y FROM cells GROUP BY ALL),
+full_cells AS (SELECT {key}, m, coalesce(c.y, n.y, a.y) AS y FROM cells c
+  LEFT JOIN near n USING (o_orderpriority, season, geography, m) JOIN means a USING (o_orderpriority, m))
+SELECT {key}, {out} FROM full_cells GROUP BY ALL"""
+
+
+@query("knn_impute", _impute_sql())
+def imputed_months(spark, sf_dir):
+    panels = ("o_orderpriority",)
+    rows = prep.month_column(clean_panel(spark, sf_dir, panels), SEASON)
+    months = reshape.months_present(rows)
+    full = knn_impute(reshape.pivot_months(rows, months, group_cols=panels), months, panels)
+    return full.select(
+        "o_orderpriority",
+        "season",
+        "geography",
+        *[F.round(F.col(str(m)), 9).alias(str(m)) for m in months],
+    )
+
+
 # End of season and scores -------------------------------------------------------------------
 
 
