@@ -64,16 +64,17 @@ def trigamma(z: Column) -> Column:
     return inv + F.lit(0.5) * inv2 + inv * series + tail
 
 
+def betabinom_loglik_terms(x: Column, n: Column, a: Column, b: Column, D: Column) -> Column:
+    """The part of the log probability that depends on the parameters; ``a + b = D``."""
+    return (
+        (lgamma(x + a) - lgamma(a)) + (lgamma(n - x + b) - lgamma(b)) - (lgamma(n + D) - lgamma(D))
+    )
+
+
 def betabinom_logpmf(x: Column, n: Column, v: Column, D: Column) -> Column:
     """Log probability of ``x`` of ``n`` with mean ``v`` and concentration ``D``."""
-    a, b = v * D, (F.lit(1.0) - v) * D
     choose = lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0)
-    return (
-        choose
-        + (lgamma(x + a) - lgamma(a))
-        + (lgamma(n - x + b) - lgamma(b))
-        - (lgamma(n + D) - lgamma(D))
-    )
+    return choose + betabinom_loglik_terms(x, n, v * D, (F.lit(1.0) - v) * D, D)
 
 
 def betabinom_mean(n: Column, v: Column) -> Column:
