@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.config import interval_quantiles
+from seasoncast.config import ModelConfig, interval_quantiles
 from seasoncast.functions import curve
 from seasoncast.functions.season import (
     days_in_season,
@@ -21,6 +21,9 @@ from seasoncast.functions.season import (
     season_geo,
     to_season,
 )
+from seasoncast.models import CurveModel, ForestModel, fit_all_models, predict_all_models
+from seasoncast.models.curve import trajectory
+from seasoncast.models.curve_predict import latent_quantiles
 from seasoncast.operators import encode, medians, prep, ranking, reshape
 from seasoncast.operators.evaluate import eos_abs_diff, score_forecast_season
 from seasoncast.operators.impute import knn_impute
@@ -28,7 +31,7 @@ from seasoncast.operators.last_date import rows_at_last_date
 from seasoncast.plans import report
 from seasoncast.sources import tables
 from seasoncast.sources.orders_panel import SEASON, orders_panel, table
-from seasoncast.sources.shared import scratch_path
+from seasoncast.sources.shared import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -650,3 +653,154 @@ def betabinom_loglik(spark, sf_dir):
         F.round(curve.betabinom_mean(n, v), 9).alias("mean"),
         F.round(curve.betabinom_variance(n, v, D), 9).alias("variance"),
     )
+
+
+def _trajectory_sql(effects: dict[str, float]) -> str:
+    codes = {
+        "season": "season",
+        "geography": "geography",
+        "season_geo": "season || '_' || geography",
+    }
+    total = " + ".join(
+        f"(dense_rank() OVER (ORDER BY {codes[f]})) * {c}::DOUBLE" for f, c in effects.items()
+    )
+    return f"""{CURVE}, am AS (SELECT *, {total} AS effect FROM timed)
+       SELECT season, geography, time_end, round((0.36::DOUBLE + effect)
+         / (1 + exp(-25::DOUBLE * (t - 0.31::DOUBLE))) + (0.08::DOUBLE + effect / 2) * t, 9) AS v
+       FROM am"""
+
+
+OWN_EFFECTS = {"season": 0.001, "geography": 0.0005, "season_geo": 0.0001}
+SHARED_EFFECTS = {"season": 0.0002, "geography": 0.0002, "season_geo": 0.0002}
+
+
+def _trajectory(spark: SparkSession, sf_dir: str, index: str, sizes: dict[str, float]) -> DataFrame:
+    features = list(sizes)
+    rows = prep.curve_columns(clean_panel(spark, sf_dir), SEASON)
+    rows = cut_lineage(encode.ordinal_codes(rows, features))
+    effects = None
+    for feature, size in sizes.items():
+        own = rows.select(
+            F.lit(feature).alias("feature"),
+            F.col(f"{feature}_code").alias("code"),
+            ((F.col(f"{feature}_code") + 1) * size).alias("effect_A"),
+        ).distinct()
+        effects = own if effects is None else effects.unionByName(own)
+    if index == "shared":
+        effects = effects.withColumn("feature", F.lit("any")).distinct()
+    effects = effects.withColumn("effect_M", F.col("effect_A") / 2)
+    parameters = [F.lit(x) for x in (0.36, 0.08, 25.0, 0.31)]
+    return trajectory(rows, effects, *parameters, effect_index=index).select(
+        "season", "geography", "time_end", F.round("v", 9).alias("v")
+    )
+
+
+@query("lpl_trajectory", _trajectory_sql(OWN_EFFECTS))
+def lpl_trajectory(spark, sf_dir):
+    return _trajectory(spark, sf_dir, "per_feature", OWN_EFFECTS)
+
+
+@query("lpl_trajectory_shared", _trajectory_sql(SHARED_EFFECTS))
+def lpl_trajectory_shared(spark, sf_dir):
+    return _trajectory(spark, sf_dir, "shared", SHARED_EFFECTS)
+
+
+@query(
+    "lpl_quantiles",
+    f"""{CURVE}, draws AS (SELECT season, geography, time_end,
+         (0.3::DOUBLE + 0.001::DOUBLE * d + 0.01::DOUBLE * length(geography))
+         / (1 + exp(-(20::DOUBLE + 0.05::DOUBLE * d) * (t - (0.3::DOUBLE + 0.0001::DOUBLE * d))))
+         + (0.05::DOUBLE + 0.0002::DOUBLE * d) * t AS v
+       FROM timed, range(200) r(d))
+       SELECT season, geography, time_end, q.quantile, round(CASE q.quantile
+           WHEN 0.025 THEN quantile_cont(v, 0.025) WHEN 0.5 THEN quantile_cont(v, 0.5)
+           ELSE quantile_cont(v, 0.975) END, 9) AS estimate
+       FROM draws, (VALUES (0.5::DOUBLE), (0.025::DOUBLE), (0.975::DOUBLE)) q(quantile)
+       GROUP BY ALL""",
+)
+def lpl_quantiles(spark, sf_dir):
+    quantiles = interval_quantiles(ALPHA)
+    rows = prep.curve_columns(clean_panel(spark, sf_dir), SEASON)
+
+    def draws(first, step):
+        numbers = F.sequence(F.lit(0), F.lit(199))
+        return F.transform(numbers, lambda d: first + F.lit(step) * d)
+
+    height = F.lit(0.3) + F.lit(0.01) * F.length("geography")
+    estimates = latent_quantiles(quantiles)(
+        draws(height, 0.001),
+        draws(F.lit(0.05), 0.0002),
+        draws(F.lit(20.0), 0.05),
+        draws(F.lit(0.3), 0.0001),
+        F.col("t"),
+    )
+    named = F.arrays_zip(
+        F.array(*[F.lit(q) for q in quantiles]).alias("quantile"), estimates.alias("estimate")
+    )
+    return rows.select("season", "geography", "time_end", F.explode(named).alias("q")).select(
+        "season",
+        "geography",
+        "time_end",
+        "q.quantile",
+        F.round("q.estimate", 9).alias("estimate"),
+    )
+
+
+# Model fits: no SQL; simulated panels with known parameters check them. --------------------
+
+PRIOR = {
+    "seed": 42, "muA_shape1": 100.0, "muA_shape2": 180.0, "sigmaA_rate": 80.0,
+    "tau_shape1": 100.0, "tau_shape2": 225.0, "K_shape": 150.0, "K_rate": 6.0,
+    "muM_shape": 2.0, "muM_rate": 25.0, "sigmaM_rate": 80.0, "D_shape": 1000.0, "D_rate": 3.0,
+    "num_samples": 500, "num_chains": 4,
+}
+PANELS = ("o_orderpriority",)
+
+
+def _fitted_curves(spark: SparkSession, sf_dir: str, panels: tuple[str, ...] = PANELS) -> CurveModel:
+    # The panel is read many times, so it is built from the orders once.
+    return CurveModel(
+        data=cut_lineage(clean_panel(spark, sf_dir, panels)),
+        forecast_dates=FORECAST_DATES,
+        params=PRIOR,
+        season=SEASON,
+        quantiles=interval_quantiles(ALPHA),
+        group_cols=panels,
+    ).fit()
+
+
+@query("curve_fit")
+def curve_fit(spark, sf_dir):
+    """Shared parameters of every panel and forecast date."""
+    return _fitted_curves(spark, sf_dir).summary()
+
+
+@query("curve_forecast")
+def curve_forecast(spark, sf_dir):
+    """Forecast quantiles of every panel and forecast date."""
+    return _fitted_curves(spark, sf_dir).predict()
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> ForestModel:
+    return ForestModel(
+        data=cut_lineage(clean_panel(spark, sf_dir)),
+        forecast_dates=FORECAST_DATES,
+        params={"n_estimators": 20, "seed": 1},
+        season=SEASON,
+        quantiles=interval_quantiles(ALPHA),
+    ).fit()
+
+
+@query("forest_forecast")
+def forest_forecast(spark, sf_dir):
+    """Forecast quantiles of the later months by forests."""
+    return _forest(spark, sf_dir).predict()
+
+
+@query("forecast_scores")
+def forecast_scores(spark, sf_dir):
+    """Both models fitted, forecast and scored at the end of the forecast season."""
+    data = cut_lineage(clean_panel(spark, sf_dir))
+    models = [ModelConfig("LPLModel", PRIOR), ModelConfig("RFModel", {"n_estimators": 20, "seed": 1})]
+    fitted = fit_all_models(data, FORECAST_DATES, models, SEASON, interval_quantiles(ALPHA))
+    return score_forecast_season(data, predict_all_models(fitted), SEASON)
