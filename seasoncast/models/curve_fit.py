@@ -34,7 +34,8 @@ MAX_PASSES = 25
 # no scale by this ratio; scales that still swing after some passes take half steps.
 _CLOSE = 0.03
 _FULL_STEPS = 8
-_FLOOR = 1e-6
+_FLOOR = 1e-5
+_WALL = 1e5
 _SCORES = ("g_A", "g_M", "g_K", "g_T")
 _INFOS = tuple(f"h_{i}{j}" for i in range(4) for j in range(i + 1))
 _SUMS = (*_SCORES, *_INFOS, "d_score", "d_info", "loglik")
@@ -229,8 +230,9 @@ def _row_expressions() -> tuple[list[dict[str, Column]], dict[str, Column]]:
     A, M, K, tau = (F.col(c) for c in ("A", "M", "K", "tau"))
     e, raw, v, a, b = (F.col(c) for c in ("e", "raw", "v", "alpha", "beta"))
     pa, pb, qa, qb = (F.col(c) for c in ("pa", "pb", "qa", "qb"))
-    # Beyond the edge of (0, 1) the likelihood is flat: nothing pulls a curve further out.
-    outward = ((raw < _FLOOR) & (pa < pb)) | ((raw > 1 - _FLOOR) & (pa > pb))
+    # Beyond the edge of (0, 1) the log likelihood goes on as a parabola that leads back.
+    outside = raw - v
+    stiffness = F.when(outside == 0, F.col("info")).otherwise(F.greatest(F.col("info"), F.lit(_WALL)))
     bend = A * e * (one - e)
     steps = [
         {"e": logistic(K, tau, t)},
@@ -247,9 +249,10 @@ def _row_expressions() -> tuple[list[dict[str, Column]], dict[str, Column]]:
             "qd": trigamma(D) - trigamma(n + D),
             "ll": betabinom_loglik_terms(x, n, a, b, D),
         },
+        {"info": D * D * (qa + qb)},
         {
-            "sc": F.when(outward, 0.0).otherwise(w * D * (pa - pb)),
-            "wt": F.when(outward, 0.0).otherwise(w * D * D * (qa + qb)),
+            "sc": w * (D * (pa - pb) - stiffness * outside),
+            "wt": w * stiffness,
             "by_K": bend * (t - tau),
             "by_tau": -bend * K,
         },

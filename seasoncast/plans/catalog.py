@@ -711,12 +711,11 @@ def lpl_trajectory_shared(spark, sf_dir):
          (0.3::DOUBLE + 0.001::DOUBLE * d + 0.01::DOUBLE * length(geography))
          / (1 + exp(-(20::DOUBLE + 0.05::DOUBLE * d) * (t - (0.3::DOUBLE + 0.0001::DOUBLE * d))))
          + (0.05::DOUBLE + 0.0002::DOUBLE * d) * t AS v
-       FROM timed, range(200) r(d))
-       SELECT season, geography, time_end, q.quantile, round(CASE q.quantile
-           WHEN 0.025 THEN quantile_cont(v, 0.025) WHEN 0.5 THEN quantile_cont(v, 0.5)
-           ELSE quantile_cont(v, 0.975) END, 9) AS estimate
-       FROM draws, (VALUES (0.5::DOUBLE), (0.025::DOUBLE), (0.975::DOUBLE)) q(quantile)
-       GROUP BY ALL""",
+       FROM timed, range(200) r(d)),
+       found AS (SELECT season, geography, time_end, quantile_cont(v, [0.5, 0.025, 0.975]) AS qs
+         FROM draws GROUP BY ALL)
+       SELECT season, geography, time_end, unnest([0.5::DOUBLE, 0.025::DOUBLE, 0.975::DOUBLE])
+         AS quantile, round(unnest(qs), 9) AS estimate FROM found""",
 )
 def lpl_quantiles(spark, sf_dir):
     quantiles = interval_quantiles(ALPHA)
