@@ -31,9 +31,8 @@ SHARD_GEOGRAPHIES = 2_000
 CHUNK_ROWS = 8_192
 MAX_PASSES = 25
 # A fit is settled when no shared parameter moves by this part of its standard deviation and
-# no scale by this ratio; scales that still swing after some passes take half steps.
+# no scale is pulled by this ratio.
 _CLOSE = 0.03
-_FULL_STEPS = 8
 _FLOOR = 1e-5
 _WALL = 1e5
 _SCORES = ("g_A", "g_M", "g_K", "g_T")
@@ -137,6 +136,8 @@ def _start(
             F.lit([0.0] * len(theta)).cast(doubles).alias("shift"),
             F.array_repeat(F.lit(0.0), len(theta) ** 2).alias("cov"),
             F.lit(sigma).cast(doubles).alias("sigma"),
+            F.array_repeat(F.lit(0.0), len(sigma)).alias("pull"),
+            F.array_repeat(F.lit(0.0), len(sigma)).alias("drift"),
             F.lit(prior["D_shape"] / prior["D_rate"]).alias("D"),
             F.lit(0.0).alias("log_posterior"),
             F.lit(0).alias("passes"),
@@ -357,20 +358,20 @@ def _step(row: pd.Series, p: int, prior: dict[str, float]) -> dict:
         fresh[3 * i] = cm.update_scale((new[effects] ** 2).sum(), spread, rate)
         fresh[3 * i + 1] = cm.update_scale(*scales[2 * i], rate)
         fresh[3 * i + 2] = cm.update_scale(*scales[2 * i + 1], rate)
-    # The first sums are taken at zero effects, which say nothing about their spread yet.
-    settled = row["passes"] >= 2
-    if not settled:
-        fresh = sigma
-    elif row["passes"] >= _FULL_STEPS:
-        fresh = np.sqrt(fresh * sigma)
+    pull = np.log(fresh / sigma)
+    # Early effects are still on their way and would overstate their spread.
+    settled = row["passes"] >= 4
+    drift = cm.secant_step(pull, np.asarray(row["pull"]), np.asarray(row["drift"])) * settled
     moved = np.abs(new - theta) / np.sqrt(np.diag(cov))
-    close = settled and moved.max() < _CLOSE and np.abs(np.log(fresh / sigma)).max() < _CLOSE
+    close = settled and max(moved.max(), np.abs(pull).max()) < _CLOSE
     return {
         **row.drop("sums").to_dict(),
         "theta": new,
         "shift": cm.on_own_scale(new) - cm.on_own_scale(theta),
         "cov": cov.ravel(),
-        "sigma": fresh,
+        "sigma": sigma * np.exp(drift),
+        "pull": pull,
+        "drift": drift,
         "D": cm.update_concentration(row["D"], d_score, d_info, prior),
         "log_posterior": loglik + cm.log_prior(theta, sigma, row["D"], prior),
         "passes": row["passes"] + 1,

@@ -149,6 +149,16 @@ def update_scale(sum_squares: float, effective: float, rate: float) -> float:
     return float(max(r.real for r in roots if abs(r.imag) <= 1e-9 * abs(r)))
 
 
+def secant_step(pull: np.ndarray, last_pull: np.ndarray, last_step: np.ndarray) -> np.ndarray:
+    """Step of a fixed-point iteration that learns from its last step, entry by entry.
+
+    Where the last step hardly changed the pull, go further; where it turned it around, go less.
+    """
+    known = np.abs(last_step) > 1e-4
+    slope = np.where(known, (last_pull - pull) / np.where(known, last_step, 1.0), 1.0)
+    return np.clip(pull / np.clip(slope, 0.5, 2.5), -0.4, 0.4)
+
+
 def update_theta(
     theta: np.ndarray, score: np.ndarray, information: np.ndarray, sigma: np.ndarray, prior: dict
 ) -> tuple[np.ndarray, np.ndarray]:

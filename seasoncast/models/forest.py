@@ -26,7 +26,7 @@ from seasoncast.schema import require_columns, require_no_nulls, require_rows
 from seasoncast.sources.shared import cut_lineage, scratch_path
 
 LAST_MONTH = 11
-_PARALLEL_FITS = 4
+_PARALLEL_FITS = 8
 
 
 class Cutoff(NamedTuple):
@@ -107,36 +107,48 @@ class ForestModel:
         return given, wanted
 
     def fit(self) -> Self:
-        """Train on the seasons before the forecast season; dates that share season and month share forests."""
-        for date, cutoff in self.cutoffs().items():
-            if cutoff not in self.models:
-                self._fit_one(date, cutoff)
+        """Train on the seasons before the forecast season.
+
+        Dates that share season and month share forests. All forests train side by side: each
+        is a chain of small jobs, which leave most of a cluster idle on their own.
+        """
+        wanted = {c: d for d, c in self.cutoffs().items() if c not in self.models}
+        training = {c: self._training(d, c) for c, d in wanted.items()}
+        jobs = [(c, m) for c in wanted for m in self._split(c)[1]]
+        for cutoff in wanted:
+            self.models[cutoff] = {}
+        with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
+            for (c, m), model in zip(jobs, pool.map(lambda j: self._grow(training[j[0]], j[1]), jobs)):
+                self.models[c][m] = model
+        for train in training.values():
+            train.unpersist()
         return self
 
-    def _fit_one(self, date: dt.date, cutoff: Cutoff) -> None:
+    def _training(self, date: dt.date, cutoff: Cutoff) -> DataFrame:
         table = self.table(date)
         given, wanted = self._split(cutoff)
         encoder = fit_one_hot(table, ["season", "geography"], [str(m) for m in given])
+        self.encoders[cutoff] = encoder
         past = require_rows(
             table.filter(F.col("season") < F.lit(cutoff.season)),
             f"no season before {cutoff.season} to train on",
         )
-        train = encode_one_hot(encoder, past).select("features", *[str(m) for m in wanted]).persist()
+        return encode_one_hot(encoder, past).select("features", *map(str, wanted)).persist()
+
+    def _grow(self, train: DataFrame, month: int) -> RandomForestRegressionModel:
         forest = RandomForestRegressor(
+            labelCol=str(month),
             leafCol="leaf",
             numTrees=int(self.params.get("n_estimators", 100)),
             maxDepth=int(self.params.get("max_depth", 30)),
             maxBins=int(self.params.get("max_bins", 128)),
+            maxMemoryInMB=int(self.params.get("max_memory_mb", 512)),
             featureSubsetStrategy="all",
             # A bootstrap sample of a single row may come out empty.
             bootstrap=train.count() > 1,
             seed=int(self.params.get("seed", 0)),
         )
-        with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
-            fitted = pool.map(lambda m: forest.copy({forest.labelCol: str(m)}).fit(train), wanted)
-            self.models[cutoff] = dict(zip(wanted, fitted))
-        train.unpersist()
-        self.encoders[cutoff] = encoder
+        return forest.fit(train)
 
     def predict(self) -> DataFrame:
         """Quantiles over trees for the months after each forecast date."""
