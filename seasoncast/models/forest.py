@@ -97,8 +97,9 @@ class ForestModel:
             if as_of is not None:
                 known = F.col(self.date_column) <= F.lit(as_of)
                 rows = rows.withColumn("estimate", F.when(known, F.col("estimate")))
-            wide = cut_lineage(pivot_months(rows, self.months))
-            self._tables[as_of] = cut_lineage(require_no_nulls(knn_impute(wide, self.months)))
+            wide = pivot_months(rows, self.months)
+            complete = cut_lineage(knn_impute(wide, self.months))
+            self._tables[as_of] = require_no_nulls(complete)
         return self._tables[as_of]
 
     def _split(self, cutoff: Cutoff) -> tuple[list[int], list[int]]:

@@ -45,7 +45,7 @@ def knn_impute(
     keys = list(group_cols)
     nan = F.lit(float("nan"))
     vector = F.array(*[F.coalesce(F.col(str(m)), nan) for m in months])
-    rows = wide.withColumn("_v", vector)
+    rows = cut_lineage(wide.withColumn("_v", vector))
     # Copies of a row count as one vector; two of them suffice as neighbours.
     vectors = cut_lineage(
         rows.groupBy(*keys, "_v")
@@ -60,13 +60,14 @@ def knn_impute(
     )
     tops = _nearest(vectors, len(months), keys, tile_rows)
     filled = _fill(vectors, tops, len(months), keys)
-    on = [*keys, "_v"]
-    out = rows.join(filled, on, "left")
+    # Complete rows stay out of the join.
+    gap = F.exists("_v", F.isnan)
     cells = [
         F.coalesce(F.nanvl(F.col(str(m)), F.lit(None)), F.get("_fill", F.lit(i))).alias(str(m))
         for i, m in enumerate(months)
     ]
-    return out.select(*keys, *INDEX, *cells)
+    mended = rows.filter(gap).join(filled, [*keys, "_v"]).select(*keys, *INDEX, *cells)
+    return rows.filter(~gap).select(*keys, *INDEX, *map(str, months)).unionByName(mended)
 
 
 def _mask(n: int):

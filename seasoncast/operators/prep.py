@@ -56,7 +56,11 @@ def preprocess(
         raise ValueError("preprocess needs start_year and end_year")
     kept = raw.filter(
         (F.col("geography_type") == "admin1") & ~F.col("geography").isin(list(excluded))
-    ).filter(F.year(date_col).between(season.start_year, season.end_year))
+    ).filter(
+        # Calendar years as a range, which a Parquet scan can use to skip row groups.
+        (F.col(date_col) >= F.lit(dt.date(season.start_year, 1, 1)))
+        & (F.col(date_col) < F.lit(dt.date(season.end_year + 1, 1, 1)))
+    )
     if geographies is not None:
         kept = kept.filter(F.col("geography").isin(list(geographies)))
     return (
