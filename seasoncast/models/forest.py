@@ -118,8 +118,10 @@ class ForestModel:
         jobs = [(c, m) for c in wanted for m in self._split(c)[1]]
         for cutoff in wanted:
             self.models[cutoff] = {}
+        sizes = {c: train.count() for c, train in training.items()}
         with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
-            for (c, m), model in zip(jobs, pool.map(lambda j: self._grow(training[j[0]], j[1]), jobs)):
+            grown = pool.map(lambda j: self._grow(training[j[0]], sizes[j[0]], j[1]), jobs)
+            for (c, m), model in zip(jobs, grown):
                 self.models[c][m] = model
         for train in training.values():
             train.unpersist()
@@ -136,7 +138,7 @@ class ForestModel:
         )
         return encode_one_hot(encoder, past).select("features", *map(str, wanted)).persist()
 
-    def _grow(self, train: DataFrame, month: int) -> RandomForestRegressionModel:
+    def _grow(self, train: DataFrame, n_rows: int, month: int) -> RandomForestRegressionModel:
         forest = RandomForestRegressor(
             labelCol=str(month),
             leafCol="leaf",
@@ -146,7 +148,7 @@ class ForestModel:
             maxMemoryInMB=int(self.params.get("max_memory_mb", 512)),
             featureSubsetStrategy="all",
             # A bootstrap sample of a single row may come out empty.
-            bootstrap=train.count() > 1,
+            bootstrap=n_rows > 1,
             seed=int(self.params.get("seed", 0)),
         )
         return forest.fit(train)
