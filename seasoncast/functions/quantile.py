@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +13,3 @@ def interpolated(sorted_values: Column, q: float) -> Column:
     at_low = F.get(sorted_values, low)
     at_high = F.get(sorted_values, F.least(low + 1, F.size(sorted_values) - 1))
     return at_low + (at_high - at_low) * (position - low)
-
-
-def ranks_of(n: int, q: float) -> tuple[int, int, float]:
-    """Lower rank, upper rank and weight of the upper one for quantile ``q`` of ``n`` values."""
-    position = (n - 1) * q
-    low = math.floor(position)
-    return low, min(low + 1, n - 1), position - low

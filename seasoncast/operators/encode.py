@@ -61,7 +61,6 @@ def fit_one_hot(
     if sum(widths) > MAX_ONE_HOT_LEVELS:
         raise ValueError(f"{sum(widths)} levels are too many for one-hot vectors")
     codes = [f"{c}_index" for c in categorical]
-    # A single-level column has to be widened by hand: the encoder refuses it.
     hot = [f"{c}_hot" for c in categorical]
     stages = [
         StringIndexer(
