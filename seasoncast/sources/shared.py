@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
 
-    Only a local master, as in tests, gets a temporary folder when it is unset.
+    Where it is unset, as in tests, a folder of the session's warehouse takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None and current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="seasoncast-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     if current is None:
         spark.sparkContext.setCheckpointDir(named)
     return (named or current).rstrip("/")
