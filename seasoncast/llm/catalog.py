@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seasoncast.llm import byte_bpe
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.common import read_table
 from seasoncast.llm.pieces import token_pieces
@@ -17,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -37,3 +39,17 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     return pack(digests)
+
+
+@query("op9_byte_bpe")
+def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the bytes that they decode to."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = docs.select("doc_id", byte_bpe.encode(F.col("text"), *BYTE_BPE).alias("ids"))
+    decoded = encoded.withColumn("raw", byte_bpe.decode(F.col("ids"), *BYTE_BPE))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )
