@@ -12,6 +12,7 @@ from seasoncast.llm import byte_bpe
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.common import read_table
 from seasoncast.llm.pieces import token_pieces
+from seasoncast.llm.token_counts import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+@query("op1_token_counts")
+def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match tokens of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = docs.select("doc_id", count_tokens(F.col("text"), WORD_BPE).alias("n"))
+    return counts.select("doc_id", "n.n_words", "n.n_tokens", "n.n_unknown", "n.longest_word")
+
+
 @query("op3_best_fit_packing")
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""

@@ -64,6 +64,7 @@ class WordBpe:
             if p["type"] == "Split"
         )
         self._words = regex.compile(split)
+        self.strings = {t.removesuffix(_END) for t in ranks} - {b""}
         self._core = tiktoken.Encoding(
             "word_bpe", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}
         )
@@ -86,11 +87,6 @@ class WordBpe:
         """Ids as little-endian unsigned 32-bit integers. Null counts as empty."""
         return b"".join(self._memo.all(chunks(text)))
 
-    @property
-    def vocab_words(self) -> list[bytes]:
-        """Tokens as bytes, ``0xff`` marking a word end."""
-        return list(self._core._mergeable_ranks)
-
 
 @lru_cache(maxsize=2)
 def load_word_bpe(path: str) -> WordBpe:
