@@ -13,6 +13,7 @@ from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.common import read_table
 from seasoncast.llm.pieces import token_pieces
 from seasoncast.llm.token_counts import count_tokens
+from seasoncast.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +51,40 @@ def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests)
 
 
+# The rules (host, path, action).
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+URL_SQL = """WITH rules(rhost, rpath, action) AS (VALUES
+  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+cut AS (SELECT row_number() OVER () AS n, page_id,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT n, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parts AS (SELECT n, page_id,
+  translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+best AS (SELECT n, max(length(rhost || rpath)) AS most FROM parts JOIN rules
+  ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
+SELECT page_id, host, path, rhost || rpath AS rule, coalesce(action, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (n) LEFT JOIN rules
+  ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  AND length(rhost || rpath) = most"""
+
+
+@query("op4_url_filter", URL_SQL)
+def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    values = ", ".join(map(str, RULES))
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS rules(host, path, action)")
+    return filter_urls(read_table(spark, sf_dir, "pages"), rules, "page_id")
+
+
 @query("op9_byte_bpe")
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the bytes that they decode to."""
