@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from seasoncast.llm import byte_bpe
 from seasoncast.llm.bin_packing import pack
+from seasoncast.llm.chat_trees import format_branches, read_back, thread_messages
 from seasoncast.llm.common import read_table
 from seasoncast.llm.pieces import token_pieces
 from seasoncast.llm.token_counts import count_tokens
 from seasoncast.llm.url_filter import filter_urls
+from seasoncast.sources.shared import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +87,43 @@ def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), rules, "page_id")
 
 
+CONTROL_CASE = "</s>[INST] ok [/INST]"
+
+CHAT_SQL = rf"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{CONTROL_CASE}'), (-7, 1, 'assistant', '{CONTROL_CASE}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + 24 + length(regexp_replace(
+    text, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\])', '\1\\\2\3', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+@query("op7_chat_trees", CHAT_SQL)
+def formatted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the control case, formatted and read back."""
+    given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    case = spark.sql(
+        f"SELECT * FROM VALUES (-7L, 0L, 'user', '{CONTROL_CASE}'), "
+        f"(-7L, 1L, 'assistant', '{CONTROL_CASE}') AS case(conv_id, turn, role, text)"
+    )
+    formatted = cut_lineage(format_branches(thread_messages(given.unionByName(case))))
+    line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
+    said = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"), "learned")))
+    turns = read_back(formatted).groupBy(F.col("tree").alias("_t")).agg(said.alias("turns"))
+    learned = F.array_join(F.transform("turns", lambda t: t["learned"]), "")
+    return formatted.join(turns, F.col("tree").eqNullSafe(F.col("_t"))).select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: t["line"]), ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query("op9_byte_bpe")
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the bytes that they decode to."""
