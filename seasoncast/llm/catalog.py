@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.llm import byte_bpe
+from seasoncast.llm import byte_bpe, va_search
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.chat_trees import format_branches, read_back, thread_messages
 from seasoncast.llm.common import read_table
@@ -124,6 +124,23 @@ def formatted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VA_SQL = """WITH base AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM base q JOIN base c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5"""
+
+
+@query("op8_va_search", VA_SQL)
+def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products for every vector whose id is divisible by 50."""
+    return va_search.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 @query("op9_byte_bpe")
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the bytes that they decode to."""
