@@ -12,6 +12,7 @@ from seasoncast.llm import byte_bpe, va_search
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.chat_trees import format_branches, read_back, thread_messages
 from seasoncast.llm.common import read_table
+from seasoncast.llm.near_dedup import near_duplicates
 from seasoncast.llm.pieces import token_pieces
 from seasoncast.llm.token_counts import count_tokens
 from seasoncast.llm.url_filter import filter_urls
@@ -87,6 +88,12 @@ def judged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read_table(spark, sf_dir, "pages"), rules, "page_id")
 
 
+@query("op6_near_dedup")
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 % of their pairs of words."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
+
+
 CONTROL_CASE = "</s>[INST] ok [/INST]"
 
 CHAT_SQL = rf"""WITH turns AS (
