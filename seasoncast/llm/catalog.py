@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.llm import byte_bpe, va_search
+from seasoncast.llm import byte_bpe, nn_descent, va_search
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.chat_trees import format_branches, read_back, thread_messages
 from seasoncast.llm.common import read_table
@@ -44,6 +44,12 @@ def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n.n_words", "n.n_tokens", "n.n_unknown", "n.longest_word")
 
 
+@query("op2_nn_descent")
+def near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 10 nearest vectors for every vector whose id is divisible by 100."""
+    return nn_descent.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 @query("op3_best_fit_packing")
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
