@@ -14,9 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from seasoncast.llm.common import map_slices
 from seasoncast.llm.memo import Memo
 
 
@@ -42,9 +44,9 @@ class PrefixBpe:
         self._lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
         self._stems = Memo(self.last_tokens, limit=100_000)
         self._neighbours = Memo(self._are_neighbours, limit=250_000)
-        self._pieces = Memo(self._piece, limit=150_000)
+        self._pieces = Memo(self._piece, limit=250_000)
         self._lone = Memo(self._lone_part, limit=100_000)
-        self._spaced = Memo(lambda part: self._lone_part(" " + part, 1), limit=300_000)
+        self._spaced = Memo(lambda part: self._lone_part(" " + part, 1), limit=600_000)
         self._newline = self._pieces["\n"]
 
     @classmethod
@@ -163,18 +165,24 @@ def load(path: str, pattern: str) -> PrefixBpe:
     return PrefixBpe.read(path, pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Token ids of whole texts, ``array<int>``; null and empty texts have none."""
+def encode(rows: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """``rows`` with token ids of whole texts in ``out`` (``array<int>``; replaced if it is there).
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
+    Null and empty texts have no ids. Texts are encoded once, a few at a time.
+    """
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path, pattern)
-        raw = [bpe.encode(t.as_py()) for t in texts]
+        raw = [bpe.encode(t) for t in batch.column(at).to_pylist()]
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
-        return pa.ListArray.from_arrays(pa.array(ends), values)
+        ids = pa.ListArray.from_arrays(pa.array(ends), values)
+        return pa.record_batch([*batch.columns, ids], names=[*batch.schema.names, out])
 
-    return ids(text)
+    given = rows.select(*[c for c in rows.columns if c != out])
+    at = given.columns.index(text)
+    schema = StructType([*given.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    return map_slices(given, add, schema)
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:

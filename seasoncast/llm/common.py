@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 128
@@ -22,7 +23,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 
 def map_slices(
-    df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """``make`` on a few rows at a time; nothing else of a partition is held."""
 
