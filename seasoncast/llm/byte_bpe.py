@@ -165,10 +165,18 @@ def load(path: str, pattern: str) -> PrefixBpe:
     return PrefixBpe.read(path, pattern)
 
 
-def encode(rows: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(
+    rows: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    out: str = "ids",
+    keep_text: bool = True,
+) -> DataFrame:
     """``rows`` with token ids of whole texts in ``out`` (``array<int>``; replaced if it is there).
 
-    Null and empty texts have no ids. Texts are encoded once, a few at a time.
+    Null and empty texts have no ids. Texts are encoded once, a few at a time, and come back only
+    with ``keep_text``.
     """
 
     def add(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,11 +185,15 @@ def encode(rows: DataFrame, path: str, pattern: str, text: str = "text", out: st
         ends = np.cumsum([0, *(len(r) // 4 for r in raw)], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"))
         ids = pa.ListArray.from_arrays(pa.array(ends), values)
-        return pa.record_batch([*batch.columns, ids], names=[*batch.schema.names, out])
+        columns = [batch.column(i) for i in kept]
+        return pa.record_batch([*columns, ids], names=[*(names[i] for i in kept), out])
 
     given = rows.select(*[c for c in rows.columns if c != out])
-    at = given.columns.index(text)
-    schema = StructType([*given.schema.fields, StructField(out, ArrayType(IntegerType()))])
+    names = given.columns
+    at = names.index(text)
+    kept = [i for i in range(len(names)) if keep_text or i != at]
+    fields = [given.schema.fields[i] for i in kept]
+    schema = StructType([*fields, StructField(out, ArrayType(IntegerType()))])
     return map_slices(given, add, schema)
 
 

@@ -158,7 +158,7 @@ def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the bytes that they decode to."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, *BYTE_BPE).drop("text")
+    encoded = byte_bpe.encode(docs, *BYTE_BPE, keep_text=False)
     decoded = encoded.withColumn("raw", byte_bpe.decode(F.col("ids"), *BYTE_BPE))
     return decoded.select(
         "doc_id",
