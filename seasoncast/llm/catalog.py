@@ -14,6 +14,7 @@ from seasoncast.llm.chat_trees import format_branches, read_back, thread_message
 from seasoncast.llm.common import read_table
 from seasoncast.llm.near_dedup import near_duplicates
 from seasoncast.llm.pieces import token_pieces
+from seasoncast.llm.site_quality import score_quality
 from seasoncast.llm.token_counts import count_tokens
 from seasoncast.llm.url_filter import filter_urls
 from seasoncast.sources.shared import cut_lineage
@@ -166,3 +167,11 @@ def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("raw", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_site_quality")
+def judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    judged = score_quality(docs, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
