@@ -75,52 +75,53 @@ def thread_messages(
     return numbered.withColumns({"parent": parent, "score": F.lit(0.0)})
 
 
-def _ancestors(nodes: DataFrame) -> list[DataFrame]:
-    """Table k: for each node its ancestor 2^k up (``up``, null beyond the root), the number of
-    nodes from it up to that ancestor (exclusive) and the sum of their scores. In the last table
-    no node has an ancestor left, save those under a cycle."""
+def _ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps, and what is known of each node that has a root.
+
+    Table k of the first holds ``tree, node, up``, the ancestor 2^k steps up, for the nodes that
+    have one. The second has ``steps``, the nodes from the root on, and ``total``, the sum of their
+    scores. A node leaves the joins once it has met its root; only nodes under a cycle never do.
+    """
     keys = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     joined = nodes.join(
         keys, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left"
     )
-    one = joined.select(
-        "tree",
-        "node",
-        F.col("_n").alias("up"),
-        F.lit(1).cast("long").alias("steps"),
-        F.coalesce("score", F.lit(0.0)).alias("total"),
+    rows = cut_lineage(
+        joined.select(
+            "tree",
+            "node",
+            F.col("_n").alias("up"),
+            F.lit(1).cast("long").alias("steps"),
+            F.coalesce("score", F.lit(0.0)).alias("total"),
+        )
     )
-    levels = [cut_lineage(one)]
-    open_rows = levels[0].filter("up IS NOT NULL").count()
-    while open_rows:
-        own = levels[-1]
-        above = own.select(
+    jumps, met, waiting = [], rows.filter("up IS NULL"), None
+    while True:
+        open_rows = rows.filter("up IS NOT NULL")
+        many = open_rows.count()
+        # Without a cycle, fewer nodes have an ancestor at twice the distance.
+        if many == 0 or many == waiting:
+            return jumps, met.drop("up")
+        jumps.append(open_rows.select("tree", "node", "up"))
+        above = met.unionByName(open_rows).select(
             F.col("tree").alias("_t"),
             F.col("node").alias("_n"),
             F.col("up").alias("_up"),
             F.col("steps").alias("_steps"),
             F.col("total").alias("_total"),
         )
-        both = own.join(
-            above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n")), "left"
-        )
-        levels.append(
-            cut_lineage(
-                both.select(
-                    "tree",
-                    "node",
-                    F.col("_up").alias("up"),
-                    (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-                    (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                )
+        rows = cut_lineage(
+            open_rows.join(
+                above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_n"))
+            ).select(
+                "tree",
+                "node",
+                F.col("_up").alias("up"),
+                (F.col("steps") + F.col("_steps")).alias("steps"),
+                (F.col("total") + F.col("_total")).alias("total"),
             )
         )
-        left = levels[-1].filter("up IS NOT NULL").count()
-        # Without a cycle, fewer nodes have an ancestor at twice the distance.
-        if left == open_rows:
-            break
-        open_rows = left
-    return levels
+        met, waiting = met.unionByName(rows.filter("up IS NULL")), many
 
 
 def branch_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -131,9 +132,8 @@ def branch_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     root). More score, then the longer path, then the smaller leaf comes first. A parent that the
     tree does not have makes a root; nodes on or under a cycle have no root and are on no path.
     """
-    levels = _ancestors(nodes)
+    jumps, top = _ancestors(nodes)
     parents = nodes.select(F.col("tree").alias("_t"), F.col("parent").alias("_n"))
-    top = levels[-1].filter("up IS NULL")
     rank = F.row_number().over(
         Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("steps"), "node")
     )
@@ -154,9 +154,8 @@ def branch_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
             (F.col("steps") - 1).alias("turn"),
         )
     )
-    for k in reversed(range(len(levels))):
-        up = levels[k].filter("up IS NOT NULL")
-        jump = up.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "up")
         further = paths.join(
             jump, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n"))
         ).select(
