@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasoncast.llm import byte_bpe, nn_descent, va_search
@@ -14,6 +14,7 @@ from seasoncast.llm.chat_trees import format_branches, read_back, thread_message
 from seasoncast.llm.common import read_table
 from seasoncast.llm.near_dedup import near_duplicates
 from seasoncast.llm.pieces import token_pieces
+from seasoncast.llm.pii import KINDS, find_pii, train
 from seasoncast.llm.site_quality import score_quality
 from seasoncast.llm.token_counts import count_tokens
 from seasoncast.llm.url_filter import filter_urls
@@ -175,3 +176,25 @@ def judged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = score_quality(docs, read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
+
+
+@query("op5_pii_tagger")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", find_pii(F.col("text"), train(docs)).alias("found"))
+
+    def listed(spans: str) -> Column:
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+        return F.array_join(one, ",")
+
+    def many(kind: str) -> Column:
+        own = F.filter("found.base", lambda s: s["kind"] == kind)
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[many(kind) for kind in KINDS],
+        F.sha2(listed("found.base"), 256).alias("base_sha256"),
+        listed("found.spans").alias("spans"),
+    )
