@@ -203,6 +203,9 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:
         bpe = load(path, pattern)
-        return pa.array([bpe.decode(x.as_py() or []) for x in lists], pa.binary())
+        ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        texts = [bpe.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
+        return pa.array(texts, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return raw(ids)
