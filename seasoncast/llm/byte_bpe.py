@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from seasoncast.llm.common import map_slices
+from seasoncast.llm.common import SLICE_ROWS, map_slices
 from seasoncast.llm.memo import Memo
 
 
@@ -44,9 +44,9 @@ class PrefixBpe:
         self._lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
         self._stems = Memo(self.last_tokens, limit=100_000)
         self._neighbours = Memo(self._are_neighbours, limit=250_000)
-        self._pieces = Memo(self._piece, limit=250_000)
-        self._lone = Memo(self._lone_part, limit=100_000)
-        self._spaced = Memo(lambda part: self._lone_part(" " + part, 1), limit=600_000)
+        self._pieces = Memo(self._piece, limit=150_000)
+        self._lone = Memo(self._lone_part, limit=50_000)
+        self._spaced = Memo(lambda part: self._lone_part(" " + part, 1), limit=500_000)
         self._newline = self._pieces["\n"]
 
     @classmethod
@@ -203,9 +203,13 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def raw(lists: pa.Array) -> pa.Array:
         bpe = load(path, pattern)
-        ids = lists.flatten().to_numpy(zero_copy_only=False).tolist()
-        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-        texts = [bpe.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
+        texts: list[bytes] = []
+        for start in range(0, len(lists), SLICE_ROWS):
+            some = lists.slice(start, SLICE_ROWS)
+            ids = some.flatten().to_numpy(zero_copy_only=False).tolist()
+            sizes = some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes).tolist()
+            texts += [bpe.decode(ids[a:b]) for a, b in zip([0, *ends], ends)]
         return pa.array(texts, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
 
     return raw(ids)
