@@ -29,7 +29,8 @@ from seasoncast.sources.shared import cut_lineage
 
 SHARD_GEOGRAPHIES = 2_000
 CHUNK_ROWS = 8_192
-MAX_PASSES = 25
+# Newton passes before a fit counts as stuck; those of the test tables settle within 20.
+MAX_PASSES = 200
 # A fit is settled when no shared parameter moves by this part of its standard deviation and
 # no scale is pulled by this ratio.
 _CLOSE = 0.03
@@ -60,7 +61,7 @@ def fit_curves(
     ``rows`` carry ``N_vax``, ``N_tot`` and ``t``; ``seasons`` lists the season labels, so a
     season's position is its code. ``fits`` has one row per fit with the mode, covariance and
     scales; ``groups`` one row per (fit, geography, season) seen in training, with effects
-    and sums at the mode.
+    and sums at the mode. Raises if a fit is not settled after ``max_passes``.
     """
     fit_keys = [*group_cols, "forecast_date"]
     obs = _training_rows(rows, forecast_dates, seasons, fit_keys, date_col)
@@ -70,8 +71,12 @@ def fit_curves(
         state = _moved(groups, fits, fit_keys)
         groups = cut_lineage(_group_sums(state, obs, fit_keys, expressions))
         fits = cut_lineage(_updated(groups, fits, fit_keys, len(seasons), prior))
-        if fits.filter(~F.col("converged")).isEmpty():
+        unsettled = fits.filter(~F.col("converged"))
+        if unsettled.isEmpty():
             break
+    else:
+        stuck = [r.asDict() for r in unsettled.select(*fit_keys).orderBy(*fit_keys).limit(5).collect()]
+        raise RuntimeError(f"not settled after {max_passes} passes, among others: {stuck}")
     obs.unpersist()
     return fits, groups
 

@@ -6,15 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasoncast.operators.ranking import with_row_index
 
-# Longest one-hot vector that a dense tree feature vector may reasonably have.
-MAX_ONE_HOT_LEVELS = 100_000
-
 
 def feature_levels(df: DataFrame, feature: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Distinct levels of one feature with codes from 0, sorted within each panel."""
@@ -53,13 +49,7 @@ def level_counts(
 def fit_one_hot(
     df: DataFrame, categorical: Sequence[str], passthrough: Sequence[str]
 ) -> PipelineModel:
-    """One-hot encoder over all levels of ``df``, followed by the passed-through columns.
-
-    Levels sit in the vector, so their number is checked first.
-    """
-    widths = level_counts(df, categorical).first()
-    if sum(widths) > MAX_ONE_HOT_LEVELS:
-        raise ValueError(f"{sum(widths)} levels are too many for one-hot vectors")
+    """One-hot encoder over all levels of ``df``, followed by the passed-through columns."""
     codes = [f"{c}_index" for c in categorical]
     hot = [f"{c}_hot" for c in categorical]
     stages = [
@@ -73,7 +63,11 @@ def fit_one_hot(
 
 
 def encode_one_hot(encoder: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add ``features``; the categorical metadata is dropped so that trees split on numbers."""
+    """Add ``features``, sparse where that is shorter, so a row does not grow with the levels.
+
+    The categorical metadata is dropped so that trees split on numbers.
+    """
     out = encoder.transform(df)
     made = [c for c in out.columns if c not in df.columns]
-    return out.withColumn("features", array_to_vector(vector_to_array("assembled"))).drop(*made)
+    plain = F.col("assembled").alias("features", metadata={})
+    return out.select(*[c for c in out.columns if c not in {*made, "features"}], plain)

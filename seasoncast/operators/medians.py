@@ -10,74 +10,55 @@ from pyspark.sql import functions as F
 
 from seasoncast.sources.shared import cut_lineage
 
-_BUCKETS = 1024
-_SALTS = 32
-# Largest group whose values one aggregation buffer may hold.
-MAX_GROUP_ROWS = 500_000
+# monotonically_increasing_id keeps the partition number above this bit.
+_PARTITION_BIT = 33
 
 
-def group_median(
-    df: DataFrame, group: str, value: str, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def group_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row per group with its exact median (null when the group has only nulls).
 
-    Groups up to ``max_group_rows`` values use the built-in aggregate. Larger ones are
-    narrowed by repeated histograms around the two middle ranks until a single value is left.
+    One way for all sizes: equal values become one row with a weight, before the shuffle; a sort
+    by group and value cuts even a group with most of the rows over many tasks; sums of weights,
+    one number per group and sorted partition, give each value its ranks. Values are in Spark's
+    order, NaN last, as in the built-in aggregate; infinities are values like others.
     """
-    sizes = df.groupBy(group).agg(F.count(value).alias("_n"))
-    big = sizes.filter(F.col("_n") > max_group_rows)
-    if big.isEmpty():
-        return df.groupBy(group).agg(F.median(value).alias(value))
-    big = cut_lineage(big.withColumnRenamed(group, "_g"))
-    is_big = F.col(group).eqNullSafe(F.col("_g"))
-    small = df.join(big, is_big, "left_anti").groupBy(group).agg(F.median(value).alias(value))
-    large = _narrowed_median(df.join(big, is_big, "left_semi"), big, group, value)
-    return small.unionByName(large)
-
-
-def _narrowed_median(df: DataFrame, sizes: DataFrame, group: str, value: str) -> DataFrame:
-    weighted = cut_lineage(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(group).alias("_g"), F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(_SALTS)).cast("int"))
+    weighted = (
+        df.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v"))
+        .agg(F.count(value).alias("_w"))
+        .orderBy("_g", "_v")
+        .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), _PARTITION_BIT))
     )
-    span = weighted.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    ranks = F.array_distinct(
-        F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    kept = cut_lineage(weighted)
+    parts = kept.groupBy("_g", "_part").agg(F.sum("_w").alias("_in_part"))
+    # One row per sorted partition that a group reaches.
+    by_group = W.partitionBy("_g")
+    in_order = by_group.orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = parts.select(
+        "_g",
+        "_part",
+        (F.sum("_in_part").over(in_order) - F.col("_in_part")).alias("_before"),
+        F.sum("_in_part").over(by_group).alias("_n"),
     )
-    targets = cut_lineage(
-        _null_safe_join(sizes, span, "_g")
-        .select("_g", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("below"))
+    within = W.partitionBy("_g", "_part").orderBy("_v")
+    upto = F.sum("_w").over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = (
+        _null_safe_join(kept.withColumn("_upto", upto), offsets, "_g", "_part")
+        .withColumn("_upto", F.col("_before") + F.col("_upto"))
+        .withColumn("_from", F.col("_upto") - F.col("_w"))
     )
-    while not targets.filter(F.col("lo") < F.col("hi")).isEmpty():
-        targets = cut_lineage(_narrow(weighted, targets))
-    return targets.groupBy("_g").agg(F.avg("lo").alias(value)).withColumnRenamed("_g", group)
 
+    def holds(rank: Column) -> Column:
+        return (F.col("_from") <= rank) & (rank < F.col("_upto"))
 
-def _narrow(weighted: DataFrame, targets: DataFrame) -> DataFrame:
-    """Replace each target's value range by that of the histogram bucket holding its rank."""
-    done = targets.filter(F.col("lo") >= F.col("hi"))
-    salted = targets.filter(F.col("lo") < F.col("hi")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    )
-    part = (F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    bucket = F.least(F.floor(part * _BUCKETS), F.lit(_BUCKETS - 1)).cast("int")
-    histogram = (
-        _null_safe_join(weighted, salted, "_g", "_salt")
-        .filter(F.col("_v").between(F.col("lo"), F.col("hi")))
-        .groupBy("_g", "rank", "below", bucket.alias("bucket"))
-        .agg(F.sum("_w").alias("w"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = ranked.groupBy("_g").agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_low"),
+        F.max(F.when(holds(high), F.col("_v"))).alias("_high"),
     )
-    # At most _BUCKETS rows per window.
-    running = F.sum("w").over(W.partitionBy("_g", "rank").orderBy("bucket"))
-    narrowed = (
-        histogram.withColumn("upto", F.col("below") + running)
-        .withColumn("below", F.col("upto") - F.col("w"))
-        .filter((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
-        .select("_g", "rank", "lo", "hi", "below")
+    median = F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(
+        F.col("_low") * 0.5 + F.col("_high") * 0.5
     )
-    return narrowed.unionByName(done)
+    return middle.select(F.col("_g").alias(group), median.alias(value))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

@@ -542,7 +542,7 @@ def geographies_by_median(spark, sf_dir):
 )
 def narrowed_median(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    exact = medians.group_median(items, "l_returnflag", "l_extendedprice", max_group_rows=1000)
+    exact = medians.group_median(items, "l_returnflag", "l_extendedprice")
     return exact.withColumn("l_extendedprice", F.round("l_extendedprice", 6))
 
 
@@ -784,7 +784,7 @@ def _forest(spark: SparkSession, sf_dir: str) -> ForestModel:
     return ForestModel(
         data=cut_lineage(clean_panel(spark, sf_dir)),
         forecast_dates=FORECAST_DATES,
-        params={"n_estimators": 20, "seed": 1},
+        params={"n_estimators": 100, "seed": 1},
         season=SEASON,
         quantiles=interval_quantiles(ALPHA),
     ).fit()
@@ -800,6 +800,6 @@ def forest_forecast(spark, sf_dir):
 def forecast_scores(spark, sf_dir):
     """Both models fitted, forecast and scored at the end of the forecast season."""
     data = cut_lineage(clean_panel(spark, sf_dir))
-    models = [ModelConfig("LPLModel", PRIOR), ModelConfig("RFModel", {"n_estimators": 20, "seed": 1})]
+    models = [ModelConfig("LPLModel", PRIOR), ModelConfig("RFModel", {"n_estimators": 100, "seed": 1})]
     fitted = fit_all_models(data, FORECAST_DATES, models, SEASON, interval_quantiles(ALPHA))
     return score_forecast_season(data, predict_all_models(fitted), SEASON)

@@ -28,10 +28,10 @@ def run(spark: SparkSession, config: RunConfig, raw: DataFrame, out_dir: str) ->
     """
     base = f"{out_dir}/{config.run_id}"
     clean = preprocess(raw, config.season, config.geographies)
+    # Before anything is written: a run without data leaves earlier tables alone.
+    require_rows(clean, "no data after preprocessing")
     tables.write_table(clean, f"{base}/data.parquet")
-    data = require_rows(
-        tables.read_data(spark, f"{base}/data.parquet"), "no data after preprocessing"
-    )
+    data = tables.read_data(spark, f"{base}/data.parquet")
 
     dates = forecast_date_list(spark, config.forecast_dates)
     fitted = fit_all_models(

@@ -137,17 +137,36 @@ def test_months_out_and_back(spark):
         require_no_nulls(wide)
 
 
-def test_median_by_narrowing_equals_the_aggregate(spark):
+def test_medians_equal_the_aggregate(spark):
     df = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, "big").when(F.col("id") % 2 == 0, "small").alias("g"),
         F.when(F.col("id") % 7 > 0, F.sin("id") * F.exp(F.col("id") % 11)).alias("v"),
     )
     df = df.unionByName(spark.sql("SELECT 'none' AS g, CAST(NULL AS DOUBLE) AS v"))
     want = {r.g: r.v for r in df.groupBy("g").agg(F.median("v").alias("v")).collect()}
-    got = {r.g: r.v for r in medians.group_median(df, "g", "v", max_group_rows=300).collect()}
+    got = {r.g: r.v for r in medians.group_median(df, "g", "v").collect()}
     assert got == want and len(got) == 4
 
 
+@pytest.mark.parametrize("copies", [1, 200])
+def test_medians_of_odd_values_equal_the_aggregate(spark, copies):
+    odd = {
+        "nan": [1.0, float("nan"), 3.0, float("nan")],
+        "more nan": [float("nan")] * 3 + [1.0],
+        "up": [1.0, float("inf"), float("inf")],
+        "both": [float("-inf"), float("inf")],
+        "wide": [-1.7e308, 1.7e308, 1.6e308],
+        "same": [5.0] * 9,
+        "null": [None, None],
+        "some": [None, 2.0, 4.0],
+    }
+    rows = [(g, v) for g, own in odd.items() for v in own] * copies
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    want = {r.g: repr(r.v) for r in df.groupBy("g").agg(F.median("v").alias("v")).collect()}
+    got = {r.g: repr(r.v) for r in medians.group_median(df, "g", "v").collect()}
+    assert got == want
+
+
 def test_codes_count_from_zero_per_feature_and_panel(spark):
     df = spark.createDataFrame([("p", "b"), ("p", "c"), ("q", "c"), ("q", "c")], "panel string, g string")
     coded = encode.ordinal_codes(df, ["g"], ["panel"]).collect()

@@ -57,5 +57,14 @@ def test_run_writes_data_predictions_and_scores(spark, tmp_path):
         # A second run over one date leaves the other dates alone.
         run(spark, config(dt.date(2019, 12, 1), dt.date(2019, 12, 1)), raw, str(tmp_path))
         assert tables.read_predictions(spark, str(tmp_path / "r" / "pred")).count() == 12 * 3 * 3
+
+        # A run without data stops before it writes.
+        try:
+            run(spark, config(dt.date(2019, 12, 1), dt.date(2019, 12, 1)), raw.limit(0), str(tmp_path))
+        except RuntimeError as error:
+            assert "no data" in str(error)
+        else:
+            raise AssertionError("an empty run went through")
+        assert tables.read_data(spark, str(tmp_path / "r" / "data.parquet")).count() == 12
     finally:
         MODELS.pop("Persistence")
