@@ -233,10 +233,34 @@ def _split_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.filter("_lo < _hi"), "region", "left_semi").drop("_k")
 
 
+def _places(regions: DataFrame) -> DataFrame:
+    """For each document the trees in which it shares a region, and those regions."""
+    at = F.array_sort(F.collect_list(F.struct("tree", "region")))
+    return (
+        regions.groupBy("rep")
+        .agg(at.alias("_at"))
+        .select(
+            "rep",
+            F.transform("_at", lambda x: x["tree"]).alias("trees"),
+            F.transform("_at", lambda x: x["region"]).alias("places"),
+        )
+    )
+
+
+def _earlier(rows: pd.DataFrame, tree: int) -> np.ndarray:
+    """Regions in the trees before ``tree``, one row a document; one of its own where it has none."""
+    out = np.repeat(-1 - rows["rep"].to_numpy()[:, None], tree, axis=1)
+    for own, trees, places in zip(out, rows["trees"], rows["places"]):
+        before = np.asarray(trees) < tree
+        own[np.asarray(trees)[before]] = np.asarray(places)[before]
+    return out
+
+
 def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, most: int) -> DataFrame:
     """Likely pairs of different components in large regions, block against block.
 
-    Of a document's partners in one component and one block, the ``most`` likely are given.
+    A pair belongs to the first tree in which it shares a region. Of a document's partners in one
+    component and one block, the ``most`` likely are given.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -250,6 +274,9 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
         na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
         good = (share >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
         good &= left["kind"].to_numpy()[:, None] != right["kind"].to_numpy()[None, :]
+        tree = int(rows["tree"].iloc[0])
+        for x, y in zip(_earlier(left, tree).T, _earlier(right, tree).T):
+            good &= x[:, None] != y[None, :]
         if first == second:
             good &= left["rep"].to_numpy()[:, None] < right["rep"].to_numpy()[None, :]
         x, y = np.nonzero(good)
@@ -269,12 +296,13 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
 
     many = F.ceil(F.col("size") / BLOCK)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), many).cast("int")).join(
-        reps.select("rep", "codes"), "rep"
+        reps.select("rep", "codes", "trees", "places"), "rep"
     )
     met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
     keyed = met.withColumns({"i": F.least("block", "_with"), "j": F.greatest("block", "_with")})
+    columns = ["tree", "region", "i", "j", "block", "rep", "n", "kind", "codes", "trees", "places"]
     return (
-        keyed.select("region", "i", "j", "block", "rep", "n", "kind", "codes")
+        keyed.select(*columns)
         .groupBy("region", "i", "j")
         .applyInPandas(compare, "a long, b long")
         .distinct()
@@ -333,12 +361,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pairs.confirm(pairs.likely(pairs.unchecked(rest)))
     most = 8
     large = mixed.filter(F.col("size") > SMALL)
+    placed = None if large.isEmpty() else cut_lineage(reps.join(_places(regions), "rep"))
     while not large.isEmpty():
-        found = _block_pairs(large, reps, pairs.least, percent, most)
+        found = _block_pairs(large, placed, pairs.least, percent, most)
         pairs.confirm(pairs.unchecked(found))
         if most >= BLOCK * 2:
             break
-        most *= 8
+        most = 2 * BLOCK  # now all of them
         large = cut_lineage(_split_regions(large.drop("kind"), pairs.labels()))
     labels = pairs.labels()
 
