@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasoncast.llm.common import slices
+from seasoncast.llm.common import hash_sample, slices
 from seasoncast.llm.span_tagger import PAD, Tagger, classes
+from seasoncast.sources.shared import cut_lineage
 
 #: Kinds in the order in which they are reported.
 KINDS = ("email", "ip", "card", "phone")
 N_TAGS = 1 + 2 * len(KINDS)
 #: Characters in a window and from one window to the next.
 WINDOW, STRIDE = 64, 32
-#: Labelled windows that the tagger is fitted on: the first by a hash of document and place.
+#: Labelled windows, about, that the tagger is fitted on at most; chosen by a hash of the window.
 TRAINING_WINDOWS = 3_000
 #: Windows decoded at once.
 DECODED = 512
@@ -200,7 +201,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Tagger |
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, tags, places = [], [], []
+            found, tags = [], []
             for t in batch.column(0).to_pylist():
                 starts = window_starts(t)
                 if not starts:
@@ -209,7 +210,6 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Tagger |
                 for s in starts:
                     found.append(t[s : s + WINDOW])
                     tags.append(whole[s : s + WINDOW].tobytes())
-                    places.append(s)
             yield pa.record_batch(
                 [pa.array(found, pa.string()), pa.array(tags, pa.binary())], names=["text", "tags"]
             )
@@ -218,12 +218,12 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Tagger |
     windows = with_trigger.mapInArrow(cut, "text string, tags binary").distinct()
     marked = F.instr(F.hex("tags"), "1") + F.instr(F.hex("tags"), "3") + F.instr(F.hex("tags"), "5")
     marked = (marked + F.instr(F.hex("tags"), "7")) > 0
-    order = F.xxhash64("text", "tags"), "text", "tags"
-    half = TRAINING_WINDOWS // 2
-    rows = windows.filter(marked).orderBy(*order).limit(half).collect()
+    stored, keys = cut_lineage(windows), ["text", "tags"]
+    rows = hash_sample(stored.filter(marked), keys, TRAINING_WINDOWS // 2).collect()
     if not rows:
         return None
-    rows += windows.filter(~marked).orderBy(*order).limit(TRAINING_WINDOWS - len(rows)).collect()
+    rest = max(1, TRAINING_WINDOWS - len(rows))
+    rows = sorted(rows + hash_sample(stored.filter(~marked), keys, rest).collect())
     x, y = [], []
     for row in rows:
         tags = np.frombuffer(row["tags"], dtype=np.uint8).astype(np.int64)

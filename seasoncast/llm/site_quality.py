@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasoncast.llm.common import hash_sample
 from seasoncast.sources.shared import cut_lineage
 
-#: Labelled rows that the logistic model is fitted on: the first by a hash of doc_id.
+#: Labelled rows, about, that the logistic model is fitted on at most; chosen by a hash of doc_id.
 LABELLED_ROWS = 20_000
 #: Copies of the site table over which the documents of a hot site are spread.
 SALTS = 16
@@ -93,14 +94,12 @@ class Logistic:
 
 def fit_classifier(measured: DataFrame, labels: DataFrame, target: str = "quality") -> Logistic | None:
     """From ``doc_id, x`` and ``doc_id, target`` (0 or 1); None if one class is missing."""
-    rows = (
+    labelled = cut_lineage(
         labels.filter(F.col(target).isin(0, 1))
         .select("doc_id", F.col(target).cast("double").alias("_y"))
         .join(measured.select("doc_id", "x"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", "x")
-        .limit(LABELLED_ROWS)
-        .collect()
     )
+    rows = sorted(hash_sample(labelled, ["doc_id"], LABELLED_ROWS).collect())
     y = np.array([r["_y"] for r in rows])
     if len(set(y)) < 2:
         return None
