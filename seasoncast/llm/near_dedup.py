@@ -34,6 +34,9 @@ REGION = 16_384
 #: Regions up to this size give their pairs by a join, larger ones in blocks.
 SMALL = 32
 BLOCK = 256
+#: Shingles of a set that goes along to its blocks, where its pairs are confirmed at once. Pairs with
+#: a larger set come out and are confirmed by joins.
+CARRIED = 2_048
 #: Four standard deviations of the estimate from ``VALUES`` values, below the threshold.
 SLACK = 4.0
 
@@ -208,6 +211,10 @@ class _Pairs:
     def labels(self) -> DataFrame:
         return components(self.checked.filter("linked"))
 
+    def add_links(self, links: DataFrame) -> None:
+        """Pairs confirmed elsewhere."""
+        self.checked = self.checked.unionByName(links.withColumn("linked", F.lit(True)))
+
     def unchecked(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.checked.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -256,11 +263,38 @@ def _earlier(rows: pd.DataFrame, tree: int) -> np.ndarray:
     return out
 
 
-def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, most: int) -> DataFrame:
-    """Likely pairs of different components in large regions, block against block.
+def _common(row: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with other sets, none of them empty."""
+    values = np.concatenate(others)
+    at = np.minimum(np.searchsorted(row, values), len(row) - 1)
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((row[at] == values).astype(np.int64), starts)
+
+
+def _links(a: np.ndarray, b: np.ndarray, left: list, right: list, percent: int) -> np.ndarray:
+    """Which pairs of the sets ``left[a]`` and ``right[b]`` are linked; ``a`` ascends."""
+    linked = np.zeros(len(a), dtype=bool)
+    for i in np.unique(a):
+        at = np.flatnonzero(a == i)
+        others = [right[j] for j in b[at]]
+        sizes = np.array([len(x) for x in others])
+        common = _common(left[i], others)
+        linked[at] = 100 * common >= percent * (len(left[i]) + sizes - common)
+    return linked
+
+
+def _sets_of(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", np.uint64) for x in column]
 
-    A pair belongs to the first tree in which it shares a region. Of a document's partners in one
-    component and one block, the ``most`` likely are given.
+
+def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, most: int | None) -> DataFrame:
+    """``a, b, linked`` for different components in large regions, block against block.
+
+    A pair belongs to the first tree in which it shares a region. Likely pairs of carried sets are
+    confirmed here: of those that are linked, one for each pair of components comes out, which
+    joins them as well as all would. Likely pairs with a larger set come out with a null; with
+    ``most``, only so many of a document's partners in one component and block, the likeliest,
+    and without it all of those and no others.
     """
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -279,32 +313,49 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
             good &= x[:, None] != y[None, :]
         if first == second:
             good &= left["rep"].to_numpy()[:, None] < right["rep"].to_numpy()[None, :]
-        x, y = np.nonzero(good)
-        found = pd.DataFrame(
-            {
-                "a": left["rep"].to_numpy()[x],
-                "b": right["rep"].to_numpy()[y],
-                "ka": left["kind"].to_numpy()[x],
-                "kb": right["kind"].to_numpy()[y],
-                "estimate": share[x, y],
-            }
-        ).sort_values("estimate", ascending=False, kind="stable")
-        near = found.groupby(["a", "kb"]).cumcount() < most
-        near &= found.groupby(["b", "ka"]).cumcount() < most
-        pairs = found.loc[near, ["a", "b"]]
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+        both = (na <= CARRIED) & (nb <= CARRIED)
+
+        def listed(chosen: np.ndarray) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+            x, y = np.nonzero(chosen)
+            pairs = pd.DataFrame(
+                {
+                    "a": left["rep"].to_numpy()[x],
+                    "b": right["rep"].to_numpy()[y],
+                    "ka": left["kind"].to_numpy()[x],
+                    "kb": right["kind"].to_numpy()[y],
+                    "estimate": share[x, y],
+                }
+            )
+            return pairs, x, y
+
+        open_pairs, _, _ = listed(good & ~both)
+        parts = []
+        if most is None:
+            parts.append(open_pairs.assign(linked=None))
+        else:
+            open_pairs = open_pairs.sort_values("estimate", ascending=False, kind="stable")
+            near = open_pairs.groupby(["a", "kb"]).cumcount() < most
+            near &= open_pairs.groupby(["b", "ka"]).cumcount() < most
+            parts.append(open_pairs[near].assign(linked=None))
+            pairs, x, y = listed(good & both)
+            linked = _links(x, y, _sets_of(left["set"]), _sets_of(right["set"]), percent)
+            parts.append(pairs[linked].drop_duplicates(["ka", "kb"]).assign(linked=True))
+        out = pd.concat([p for p in parts if len(p)] or [parts[0]])
+        ends = out[["a", "b"]]
+        return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1), "linked": out["linked"]})
 
     many = F.ceil(F.col("size") / BLOCK)
+    carried = ["rep", "codes", "trees", "places", "set"]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), many).cast("int")).join(
-        reps.select("rep", "codes", "trees", "places"), "rep"
+        reps.select(*carried), "rep"
     )
     met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
     keyed = met.withColumns({"i": F.least("block", "_with"), "j": F.greatest("block", "_with")})
-    columns = ["tree", "region", "i", "j", "block", "rep", "n", "kind", "codes", "trees", "places"]
+    columns = ["tree", "region", "i", "j", "block", "n", "kind", *carried]
     return (
         keyed.select(*columns)
         .groupBy("region", "i", "j")
-        .applyInPandas(compare, "a long, b long")
+        .applyInPandas(compare, "a long, b long, linked boolean")
         .distinct()
     )
 
@@ -359,16 +410,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     joined = small.join(other, "region").filter("rep < _b AND kind <> _kind")
     rest = joined.select(F.col("rep").alias("a"), F.col("_b").alias("b")).distinct()
     pairs.confirm(pairs.likely(pairs.unchecked(rest)))
-    most = 8
     large = mixed.filter(F.col("size") > SMALL)
-    placed = None if large.isEmpty() else cut_lineage(reps.join(_places(regions), "rep"))
-    while not large.isEmpty():
-        found = _block_pairs(large, placed, pairs.least, percent, most)
-        pairs.confirm(pairs.unchecked(found))
-        if most >= BLOCK * 2:
-            break
-        most = 2 * BLOCK  # now all of them
-        large = cut_lineage(_split_regions(large.drop("kind"), pairs.labels()))
+    if not large.isEmpty():
+        carried = pairs.sets.join(reps.filter(F.col("n") <= CARRIED), "rep", "left_semi")
+        placed = cut_lineage(reps.join(_places(regions), "rep").join(carried, "rep", "left"))
+        for most in (8, None):
+            found = cut_lineage(_block_pairs(large, placed, pairs.least, percent, most))
+            pairs.add_links(found.filter("linked").select("a", "b"))
+            pairs.confirm(pairs.unchecked(found.filter("linked IS NULL")))
+            if most:
+                # Carried sets are settled; what is left are regions with larger ones.
+                open_regions = large.filter(F.col("n") > CARRIED).select("region").distinct()
+                large = large.join(open_regions, "region", "left_semi").drop("kind")
+                large = cut_lineage(_split_regions(large, pairs.labels()))
+                if large.isEmpty():
+                    break
     labels = pairs.labels()
 
     named = classes.select("set_key", "rep").join(

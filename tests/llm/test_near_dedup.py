@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasoncast.llm import near_dedup
@@ -55,7 +56,9 @@ def fixture():
     return [(i, texts[k]) for i, k in enumerate(order)]
 
 
-def test_equals_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("carried", [2_048, 100])
+def test_equals_all_pairs(spark, monkeypatch, carried):
+    monkeypatch.setattr(near_dedup, "CARRIED", carried)
     monkeypatch.setattr(near_dedup, "SMALL", 8)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     rows = fixture()
