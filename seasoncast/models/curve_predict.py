@@ -38,24 +38,6 @@ def curve_quantiles(
     return np.quantile(values, quantiles, axis=0)
 
 
-def latent_quantiles(quantiles: Sequence[float]):
-    """Pandas UDF ``(A, M, K, tau, t) -> quantiles`` over arrays of draws in a row."""
-    qs = [float(q) for q in quantiles]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def over_draws(
-        A: pd.Series, M: pd.Series, K: pd.Series, tau: pd.Series, t: pd.Series
-    ) -> pd.Series:
-        return pd.Series(
-            [
-                curve_quantiles(a[:, None], m[:, None], k, u, np.array([at]), qs)[:, 0]
-                for a, m, k, u, at in zip(A, M, K, tau, t)
-            ]
-        )
-
-    return over_draws
-
-
 def _generator(seed: int, *names: object) -> np.random.Generator:
     return np.random.default_rng([seed, *[zlib.crc32(str(n).encode()) for n in names]])
 

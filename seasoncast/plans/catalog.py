@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seasoncast.config import ModelConfig, interval_quantiles
 from seasoncast.functions import curve
+from seasoncast.functions.quantile import interpolated
 from seasoncast.functions.season import (
     days_in_season,
     month_in_season,
@@ -23,7 +24,6 @@ from seasoncast.functions.season import (
 )
 from seasoncast.models import CurveModel, ForestModel, fit_all_models, predict_all_models
 from seasoncast.models.curve import trajectory
-from seasoncast.models.curve_predict import latent_quantiles
 from seasoncast.operators import encode, medians, prep, ranking, reshape
 from seasoncast.operators.evaluate import eos_abs_diff, score_forecast_season
 from seasoncast.operators.impute import knn_impute
@@ -708,10 +708,10 @@ def lpl_trajectory_shared(spark, sf_dir):
 @query(
     "lpl_quantiles",
     f"""{CURVE}, draws AS (SELECT season, geography, time_end,
-         (0.3::DOUBLE + 0.001::DOUBLE * d + 0.01::DOUBLE * length(geography))
-         / (1 + exp(-(20::DOUBLE + 0.05::DOUBLE * d) * (t - (0.3::DOUBLE + 0.0001::DOUBLE * d))))
-         + (0.05::DOUBLE + 0.0002::DOUBLE * d) * t AS v
-       FROM timed, range(200) r(d)),
+         (0.3::DOUBLE + 0.0001::DOUBLE * d + 0.01::DOUBLE * length(geography))
+         / (1 + exp(-(20::DOUBLE + 0.005::DOUBLE * d) * (t - (0.3::DOUBLE + 0.00001::DOUBLE * d))))
+         + (0.05::DOUBLE + 0.00002::DOUBLE * d) * t AS v
+       FROM timed, range(2000) r(d)),
        found AS (SELECT season, geography, time_end, quantile_cont(v, [0.5, 0.025, 0.975]) AS qs
          FROM draws GROUP BY ALL)
        SELECT season, geography, time_end, unnest([0.5::DOUBLE, 0.025::DOUBLE, 0.975::DOUBLE])
@@ -721,18 +721,14 @@ def lpl_quantiles(spark, sf_dir):
     quantiles = interval_quantiles(ALPHA)
     rows = prep.curve_columns(clean_panel(spark, sf_dir), SEASON)
 
-    def draws(first, step):
-        numbers = F.sequence(F.lit(0), F.lit(199))
-        return F.transform(numbers, lambda d: first + F.lit(step) * d)
-
-    height = F.lit(0.3) + F.lit(0.01) * F.length("geography")
-    estimates = latent_quantiles(quantiles)(
-        draws(height, 0.001),
-        draws(F.lit(0.05), 0.0002),
-        draws(F.lit(20.0), 0.05),
-        draws(F.lit(0.3), 0.0001),
-        F.col("t"),
-    )
+    def latent(d):
+        A = F.lit(0.3) + F.lit(0.0001) * d + F.lit(0.01) * F.length("geography")
+        M, K, tau = F.lit(0.05) + F.lit(0.00002) * d, F.lit(20.0) + F.lit(0.005) * d, F.lit(0.3) + F.lit(0.00001) * d
+        return curve.lpl_curve(A, M, K, tau, F.col("t"))
+
+    numbers = F.sequence(F.lit(0), F.lit(1999))
+    rows = rows.withColumn("_draws", F.array_sort(F.transform(numbers, latent)))
+    estimates = F.array(*[interpolated(F.col("_draws"), q) for q in quantiles])
     named = F.arrays_zip(
         F.array(*[F.lit(q) for q in quantiles]).alias("quantile"), estimates.alias("estimate")
     )
