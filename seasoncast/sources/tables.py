@@ -28,9 +28,14 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
-    """One partition folder per forecast date; a re-run replaces only its own dates."""
+    """One partition folder per forecast date; a re-run replaces only its own dates.
+
+    Rows of a date come together before the write, in files of even size: a task does not write
+    one small file for every date.
+    """
     (
-        preds.write.mode("overwrite")
+        preds.hint("rebalance", "forecast_date")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("forecast_date")
         .parquet(path)

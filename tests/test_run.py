@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasoncast.config import RunConfig
@@ -25,7 +26,7 @@ class Persistence:
         )
 
 
-def config(start, end, out="r"):
+def config(start, end, out="r", example=None):
     return RunConfig.from_dict(
         {
             "run_id": out,
@@ -33,6 +34,7 @@ def config(start, end, out="r"):
             "models": [{"name": "Persistence"}],
             "alpha": 0.1,
             "forecast_dates": {"start": start, "end": end},
+            "plots": {"example_season": example},
         }
     )
 
@@ -68,3 +70,40 @@ def test_run_writes_data_predictions_and_scores(spark, tmp_path):
         assert tables.read_data(spark, str(tmp_path / "r" / "data.parquet")).count() == 12
     finally:
         MODELS.pop("Persistence")
+
+
+def test_report_tables_of_a_run(spark, tmp_path):
+    register_model("Persistence", Persistence)
+    try:
+        raw = spark.createDataFrame(
+            [("admin1", g, dt.date(2019, m, 1), m / 100 + i / 1000, 0.0, 1.0, 10)
+             for i, g in enumerate("abcde") for m in range(7, 13)],
+            "geography_type string, geography string, time_end date, estimate double, "
+            "lci double, uci double, sample_size int",
+        )
+        dates = dt.date(2019, 10, 1), dt.date(2019, 12, 1)
+        run(spark, config(*dates, example="2019/2020"), raw, str(tmp_path))
+        folder = tmp_path / "r" / "report"
+        sizes = {p.stem: spark.read.parquet(str(p)).count() for p in folder.iterdir()}
+        # October sees two later months and November one, so only October's forecast is usable.
+        assert sizes == {
+            "trajectories": 30, "end_of_season": 5, "forecast_cones": 15, "forecast_vs_observed": 30,
+            "labelled_examples": 5, "season_medians": 6, "geography_medians": 10, "geographies_by_median": 5,
+        }
+        order = [r.geography for r in spark.read.parquet(str(folder / "geographies_by_median.parquet")).collect()]
+        assert sorted(order) == list("abcde")
+    finally:
+        MODELS.pop("Persistence")
+
+
+def test_a_forest_with_panels_is_refused():
+    raw = {
+        "run_id": "r",
+        "season": {"start_month": 7, "end_month": 4, "start_year": 2018, "end_year": 2020},
+        "models": [{"name": "RFModel"}],
+        "alpha": 0.1,
+        "forecast_dates": {"start": dt.date(2019, 10, 1), "end": dt.date(2019, 12, 1)},
+        "group_cols": ["panel"],
+    }
+    with pytest.raises(ValueError, match="one panel"):
+        RunConfig.from_dict(raw)
