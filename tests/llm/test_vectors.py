@@ -94,6 +94,19 @@ def test_beam_grows_with_the_table():
     assert nn_descent.beam_for(500_000) > 4 * 300
 
 
+def test_nn_descent_beside_one_huge_vector(spark):
+    points = np.random.default_rng(5).normal(size=(300, 4))
+    points[0] = [1e9, -1e9, 1e9, 1e9]
+    table = spark.createDataFrame([(i, p.tolist(), "") for i, p in enumerate(points)], SCHEMA)
+    vectors = table.select(F.col("vec_id").cast("long").alias("rep"), F.col("embedding").alias("vec"))
+    got = nn_descent.neighbour_graph(vectors, 8).collect()
+    hits = 0
+    for i in range(1, 300):
+        far = ((points - points[i]) ** 2).sum(axis=1)
+        hits += len({r["v"] for r in got if r["u"] == i} & set(np.argsort(far)[1:9].tolist()))
+    assert hits >= 0.95 * 8 * 299
+
+
 def test_nn_descent_on_odd_rows(spark):
     rows = odd_rows()
     got = nn_descent.search(spark.createDataFrame(rows, SCHEMA), F.col("id") == 41, 10).collect()
