@@ -3,9 +3,10 @@
 Each tree of the forest is one order of the signature. Documents that agree on its first values
 form a region; a region that is too large goes deeper by one value at a time. In the sorted order
 of a region, neighbours have the longest common prefixes: they are tried first, the most similar
-first. Pairs of a region that these links do not put into one component are tried after that, so
-no link between two documents of a region is lost; copies and members of one component are never
-paired with each other.
+first. Pairs of a region that these links do not put into one component are tried after that, and
+at last those that only going deeper has separated, so no link between two documents that agree on
+the first values of a tree is lost; copies and members of one component are never paired with each
+other.
 """
 
 from __future__ import annotations
@@ -127,17 +128,21 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _regions(trees: DataFrame) -> DataFrame:
-    """``rep, n, deep, region, size`` for documents that share their region with others."""
+    """``rep, n, deep, region, size, wide, wide_size`` for documents that share the first values of a
+    tree with others. ``wide`` is the region before it goes deeper; ``region`` may hold one alone."""
 
     def sized(rows: DataFrame, depth: int) -> DataFrame:
         below = 16 * (DEEPEST - depth)
         # A shift by 64 bits would be none at all.
         prefix = F.shiftrightunsigned("deep", below) if below < 64 else F.lit(0).cast("long")
         keyed = rows.withColumn("region", F.xxhash64("tree", "key", prefix, F.lit(depth)))
-        sizes = keyed.groupBy("region").agg(F.count("*").alias("size")).filter("size > 1")
-        return cut_lineage(keyed.join(sizes, "region"))
+        sizes = keyed.groupBy("region").agg(F.count("*").alias("size"))
+        # Whoever is alone in a deeper region is still to meet the others of the wide one.
+        shared = sizes.filter("size > 1") if depth == DEPTH else sizes
+        return cut_lineage(keyed.join(shared, "region"))
 
-    rows, done = sized(trees, DEPTH), None
+    first = sized(trees, DEPTH)
+    rows, done = first.withColumns({"wide": F.col("region"), "wide_size": F.col("size")}), None
     for depth in range(DEPTH + 1, DEEPEST + 1):
         large = rows.filter(F.col("size") > REGION)
         if large.isEmpty():
@@ -232,12 +237,19 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _split_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the regions that hold more than one component, with ``kind``, the component."""
+    """Rows of the regions that hold more than one component, with ``kind``, the component, and
+    ``top`` and ``n_top``, the most frequent one of the region and its rows."""
     named = regions.join(
         labels.select(F.col("node").alias("rep"), F.col("component").alias("_k")), "rep", "left"
     ).withColumn("kind", F.coalesce("_k", "rep"))
-    mixed = named.groupBy("region").agg(F.min("kind").alias("_lo"), F.max("kind").alias("_hi"))
-    return named.join(mixed.filter("_lo < _hi"), "region", "left_semi").drop("_k")
+    many = named.groupBy("region", "kind").agg(F.count("*").alias("_rows"))
+    mixed = (
+        many.groupBy("region")
+        .agg(F.count("*").alias("_kinds"), F.max(F.struct("_rows", "kind")).alias("_top"))
+        .filter("_kinds > 1")
+        .select("region", F.col("_top.kind").alias("top"), F.col("_top._rows").alias("n_top"))
+    )
+    return named.join(mixed, "region").drop("_k")
 
 
 def _places(regions: DataFrame) -> DataFrame:
@@ -301,10 +313,12 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
         rows = rows.drop_duplicates(["rep", "block"])
         first, second = rows["i"].iloc[0], rows["j"].iloc[0]
         left, right = rows[rows["block"] == first], rows[rows["block"] == second]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "linked": []})
         a, b = (
             np.frombuffer(b"".join(x["codes"]), np.uint8).reshape(-1, VALUES) for x in (left, right)
         )
-        share = np.stack([(b == row).mean(axis=1) for row in a]) if len(b) else np.empty((len(a), 0))
+        share = np.stack([(b == row).mean(axis=1) for row in a])
         na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
         good = (share >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
         good &= left["kind"].to_numpy()[:, None] != right["kind"].to_numpy()[None, :]
@@ -344,12 +358,17 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
         ends = out[["a", "b"]]
         return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1), "linked": out["linked"]})
 
-    many = F.ceil(F.col("size") / BLOCK)
-    carried = ["rep", "codes", "trees", "places", "set"]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), many).cast("int")).join(
-        reps.select(*carried), "rep"
+    # Rows of the most frequent component have blocks of their own, which meet those of others only.
+    others = F.ceil((F.col("size") - F.col("n_top")) / BLOCK)
+    tops = F.ceil(F.col("n_top") / BLOCK)
+    is_top = F.col("kind") == F.col("top")
+    at = F.when(is_top, others + F.pmod(F.xxhash64("rep"), tops)).otherwise(
+        F.pmod(F.xxhash64("rep"), others)
     )
-    met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), (many - 1).cast("int"))))
+    last = F.when(is_top, others).otherwise(others + tops) - 1
+    carried = ["rep", "codes", "trees", "places", "set"]
+    dealt = rows.withColumn("block", at.cast("int")).join(reps.select(*carried), "rep")
+    met = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     keyed = met.withColumns({"i": F.least("block", "_with"), "j": F.greatest("block", "_with")})
     columns = ["tree", "region", "i", "j", "block", "n", "kind", *carried]
     return (
@@ -360,6 +379,21 @@ def _block_pairs(rows: DataFrame, reps: DataFrame, least: float, percent: int, m
     )
 
 
+def _confirm_large(pairs: _Pairs, large: DataFrame, placed: DataFrame) -> None:
+    """Pairs of different components in the large regions of ``large``."""
+    for most in (8, None):
+        found = cut_lineage(_block_pairs(large, placed, pairs.least, pairs.percent, most))
+        pairs.add_links(found.filter("linked").select("a", "b"))
+        pairs.confirm(pairs.unchecked(found.filter("linked IS NULL")))
+        if most:
+            # Carried sets are settled; what is left are regions with larger ones.
+            open_regions = large.filter(F.col("n") > CARRIED).select("region").distinct()
+            large = large.join(open_regions, "region", "left_semi").drop("kind", "top", "n_top")
+            large = cut_lineage(_split_regions(large, pairs.labels()))
+            if large.isEmpty():
+                break
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs``.
 
@@ -411,20 +445,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rest = joined.select(F.col("rep").alias("a"), F.col("_b").alias("b")).distinct()
     pairs.confirm(pairs.likely(pairs.unchecked(rest)))
     large = mixed.filter(F.col("size") > SMALL)
-    if not large.isEmpty():
+    gone_deeper = regions.filter(F.col("wide_size") > REGION)
+    deeper = not gone_deeper.isEmpty()
+    if deeper or not large.isEmpty():
         carried = pairs.sets.join(reps.filter(F.col("n") <= CARRIED), "rep", "left_semi")
-        placed = cut_lineage(reps.join(_places(regions), "rep").join(carried, "rep", "left"))
-        for most in (8, None):
-            found = cut_lineage(_block_pairs(large, placed, pairs.least, percent, most))
-            pairs.add_links(found.filter("linked").select("a", "b"))
-            pairs.confirm(pairs.unchecked(found.filter("linked IS NULL")))
-            if most:
-                # Carried sets are settled; what is left are regions with larger ones.
-                open_regions = large.filter(F.col("n") > CARRIED).select("region").distinct()
-                large = large.join(open_regions, "region", "left_semi").drop("kind")
-                large = cut_lineage(_split_regions(large, pairs.labels()))
-                if large.isEmpty():
-                    break
+        carrying = cut_lineage(reps.join(carried, "rep", "left"))
+    if not large.isEmpty():
+        _confirm_large(pairs, large, cut_lineage(carrying.join(_places(regions), "rep")))
+    if deeper:
+        # Agreeing on the first values is what makes a pair, so those of one wide region that are
+        # still apart meet too; a pair belongs to the first tree in which both share such a region.
+        wide = gone_deeper.drop("region", "size").withColumnsRenamed(
+            {"wide": "region", "wide_size": "size"}
+        )
+        apart = cut_lineage(_split_regions(wide, pairs.labels()))
+        if not apart.isEmpty():
+            _confirm_large(pairs, apart, cut_lineage(carrying.join(_places(wide), "rep")))
     labels = pairs.labels()
 
     named = classes.select("set_key", "rep").join(

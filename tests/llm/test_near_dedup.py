@@ -88,6 +88,27 @@ def test_regions_go_deeper(spark, monkeypatch):
     assert len(got) == 100 and {r["size"] for r in got} == {10}
 
 
+def test_links_across_deeper_regions(spark, monkeypatch):
+    """Linked pairs that agree on the first values of a tree but on the deeper ones of none."""
+    monkeypatch.setattr(near_dedup, "REGION", 1)
+    own = near_dedup.Shingler(1)
+    texts = []
+    for n in range(400):
+        words = [f"p{n}w{i}" for i in range(90)]
+        pair = [" ".join(words[:80] + words[80:85]), " ".join(words[:80] + words[85:])]
+        pair = [t + "".join(f" p{n}{side}{i}" for i in range(4)) for side, t in zip("xy", pair)]
+        (a, deep_a), (b, deep_b) = (own.order_keys(own.signature(own.shingles(t))) for t in pair)
+        if (a == b).any() and not ((a == b) & (deep_a == deep_b)).any():
+            texts += pair
+    rows = list(enumerate(texts))
+    assert len(rows) >= 8
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(2)
+    got = near_dedup.near_duplicates(docs, words=1).collect()
+    want = brute(rows, 1)
+    assert {i for _, i in want.values()} == set(range(0, len(rows), 2))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id int, text string")
     assert near_dedup.near_duplicates(none).count() == 0
