@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasoncast.llm import byte_bpe, nn_descent, va_search
+from seasoncast.llm import byte_bpe, nn_descent, nra_search, quality_rules, va_search
 from seasoncast.llm.bin_packing import pack
 from seasoncast.llm.chat_trees import format_branches, read_back, thread_messages
 from seasoncast.llm.common import read_table
@@ -16,6 +16,7 @@ from seasoncast.llm.near_dedup import near_duplicates
 from seasoncast.llm.pieces import token_pieces
 from seasoncast.llm.pii import KINDS, find_pii, train
 from seasoncast.llm.site_quality import score_quality
+from seasoncast.llm.token_alignment import align_tokens
 from seasoncast.llm.token_counts import count_tokens
 from seasoncast.llm.url_filter import filter_urls
 from seasoncast.sources.shared import cut_lineage
@@ -198,3 +199,105 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed("found.base"), 256).alias("base_sha256"),
         listed("found.spans").alias("spans"),
     )
+
+
+# What is not of a class, by which the others are counted.
+CLASS_PATTERNS = [
+    "[^a-z]",
+    "[^A-Z]",
+    "[^0-9]",
+    r"[^\x20\x09-\x0D]",
+    r"[^.,;:!?''\"()\-]",
+    r"[a-zA-Z0-9\x20\x09-\x0D.,;:!?''\"()\-]|[^\x00-\x7F]",
+    r"[\x00-\x7F]",
+]
+CLASS_COUNTS = ", ".join(
+    f"length(regexp_replace(text, '{p}', '', 'g'))" for p in CLASS_PATTERNS
+)
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Two terms of the divergence, each to base 2; shares of nothing add nothing.
+DIVERGENCE = """sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))"""
+
+RULES_SQL = rf"""WITH base AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang,
+  coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, doc_id, lang, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, [{CLASS_COUNTS}] AS cls,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS many FROM (
+  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM cut, unnest(range(1, len(w) - 6)) AS t(i))),
+again AS (SELECT r, count(DISTINCT p) AS n FROM win, unnest(range(i, i + 8)) AS t(p) WHERE many > 1 GROUP BY r),
+measured AS (SELECT r, doc_id, lang, w, cls, len(w) AS n_words,
+  CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM cut LEFT JOIN again USING (r)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
+words AS (SELECT r, lang, base_failed, {LOWER.format("word")} AS word, count(*) AS n
+  FROM (SELECT r, lang, base_failed, unnest(w) AS word FROM failed) GROUP BY ALL),
+per_word AS (SELECT lang, word, sum(n) AS n FROM words
+  WHERE NOT base_failed AND octet_length(encode(word)) <= 64 GROUP BY ALL),
+common AS (SELECT lang, word, n FROM per_word
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 50),
+total AS (SELECT lang, sum(n_words) AS n_words FROM failed WHERE NOT base_failed GROUP BY lang HAVING sum(n_words) >= 1000),
+word_ref AS (SELECT lang, word, n / n_words AS q FROM common JOIN total USING (lang)
+  UNION ALL SELECT lang, NULL, (n_words - s) / n_words FROM total
+  JOIN (SELECT lang, sum(n) AS s FROM common GROUP BY lang) USING (lang)),
+own AS (SELECT r, word, sum(words.n) AS n FROM words JOIN common USING (lang, word) GROUP BY r, word),
+own_all AS (SELECT r, word, n FROM own UNION ALL
+  SELECT r, NULL, n_words - coalesce(s, 0) FROM failed LEFT JOIN (SELECT r, sum(n) AS s FROM own GROUP BY r) USING (r)),
+word_pairs AS (SELECT f.r, q, coalesce(o.n, 0) / f.n_words AS p FROM failed f JOIN word_ref w USING (lang)
+  LEFT JOIN own_all o ON o.r = f.r AND o.word IS NOT DISTINCT FROM w.word WHERE f.n_words >= 80),
+word_gap AS (SELECT r, {DIVERGENCE} AS gap FROM word_pairs GROUP BY r),
+class_rows AS (SELECT r, lang, base_failed, i, cls[i] AS n FROM failed, unnest(range(1, 8)) AS t(i)),
+class_ref AS (SELECT lang, i, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q
+  FROM class_rows JOIN total USING (lang) WHERE NOT base_failed GROUP BY lang, i),
+class_pairs AS (SELECT r, q, n / sum(n) OVER (PARTITION BY r) AS p, sum(n) OVER (PARTITION BY r) AS chars
+  FROM class_rows JOIN class_ref USING (lang, i)),
+class_gap AS (SELECT r, {DIVERGENCE} AS gap FROM class_pairs WHERE chars >= 200 GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR coalesce(c.gap, 0) > 0.25 OR coalesce(w.gap, 0) > 0.38) AS kept
+FROM failed LEFT JOIN class_gap c USING (r) LEFT JOIN word_gap w USING (r)"""
+
+
+@query("op11_quality_divergence", RULES_SQL)
+def ruled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents, and which are near enough to their language."""
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
+    return judged.drop("lang", "class_distance", "word_distance")
+
+
+TERMS = rf"""regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SEARCH_SQL = f"""WITH sizes AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS terms, len(terms) AS n FROM documents),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes WHERE n > 0),
+postings AS (SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, n, unnest(terms) AS term FROM sizes) GROUP BY ALL),
+wanted AS (SELECT item_id, term, count(*) AS many
+  FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term,
+  CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, whole GROUP BY term),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(many * w *
+    ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term), whole GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20"""
+
+
+@query("op12_nra_search", SEARCH_SQL)
+def searched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    items = read_table(spark, sf_dir, "benchmark")
+    return nra_search.search(read_table(spark, sf_dir, "documents"), items, 20)
+
+
+BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_token_alignment")
+def aligned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizations of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = align_tokens(docs, BYTE_JSON, public_tokenizers.PATTERN, PIECES, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
