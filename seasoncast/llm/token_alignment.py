@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasoncast.llm.common import slices
-from seasoncast.llm.memo import Memo
 from seasoncast.llm.word_bpe import _byte_of_char
 from seasoncast.sources.shared import cut_lineage
 
@@ -86,43 +85,79 @@ class PieceTokenizer:
             return bytes([int(found[1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of ``text``, which begins with a blank: the one that the model adds."""
-        return self._core.encode(text[1:]) if len(text) > 1 else [self._blank]
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that begin with a blank: the one that the model adds."""
+        found = self._core.encode([t[1:] for t in texts], num_threads=1)
+        return [ids if len(t) > 1 else [self._blank] for t, ids in zip(texts, found)]
 
 
 class Tokenized(NamedTuple):
-    a: list[int]
-    b: list[int]
+    """Ids of both tokenizers, as arrays of 32-bit integers."""
 
+    a: np.ndarray
+    b: np.ndarray
 
-class TokenizerPair:
-    """Both tokenizations of texts, with a memo for what stands between blanks."""
 
-    def __init__(self, first: str, pattern: str, second: str):
-        self.first, self.second = ByteTokenizer(first, pattern), PieceTokenizer(second)
-        self._memo = Memo(self._chunk, limit=200_000)
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[list[int], list[int], bool]:
-        b = self.second.encode(chunk)
-        same = b"".join(map(self.second.bytes.__getitem__, b)) == chunk.encode()
-        return self.first.encode(chunk), b, same
 
-    def tokens(self, text: str | None) -> Tokenized | None:
+class TokenizerPair:
+    """Both tokenizations of texts, with a memo for what stands between blanks.
+
+    Chunks of up to ``longest`` characters are kept until ``limit`` newer ones were met; results
+    never depend on what is kept.
+    """
+
+    def __init__(
+        self, first: str, pattern: str, second: str, limit: int = 200_000, longest: int = 64
+    ):
+        self.first, self.second = ByteTokenizer(first, pattern), PieceTokenizer(second)
+        self.limit, self.longest = limit, longest
+        self._known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self._older: dict[str, tuple[bytes, bytes, bool]] = {}
+
+    def _look_up(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of both for each chunk, and whether the second gives its bytes back."""
+        known, older, fresh = self._known, self._older, []
+        for chunk in chunks.difference(known):
+            if chunk in older:
+                known[chunk] = older[chunk]
+            else:
+                fresh.append(chunk)
+        out = known
+        if fresh:
+            if any(len(c) > self.longest for c in fresh):
+                out = dict(known)
+            spelled = self.second.bytes.__getitem__
+            for chunk, b in zip(fresh, self.second.encode_all(fresh)):
+                same = b"".join(map(spelled, b)) == chunk.encode()
+                out[chunk] = _packed(self.first.encode(chunk)), _packed(b), same
+                if len(chunk) <= self.longest:
+                    known[chunk] = out[chunk]
+        if len(known) >= self.limit:
+            self._known, self._older = {}, known
+        return out
+
+    def tokens(self, texts: list[str | None]) -> list[Tokenized | None]:
         """None for null and empty texts, and for those that the second does not give back."""
-        if not text:
-            return None
-        spaced = " " + text
-        if not self.second.by_chunk:
-            a, b, same = self._chunk(spaced)
-            return Tokenized(a, b) if same else None
-        parts = list(self._memo.all(_CHUNK.findall(spaced)))
-        if not all(same for _, _, same in parts):
-            return None
-        b = list(chain.from_iterable(p[1] for p in parts))
-        if _NOT_ALONE.search(spaced):
-            return Tokenized(self.first.encode(spaced), b)
-        return Tokenized(list(chain.from_iterable(p[0] for p in parts)), b)
+        spaced = [" " + t if t else "" for t in texts]
+        split = _CHUNK.findall if self.second.by_chunk else lambda t: [t] if t else []
+        chunked = [split(t) for t in spaced]
+        known = self._look_up(set(chain.from_iterable(chunked)))
+        out: list[Tokenized | None] = []
+        for text, chunks in zip(spaced, chunked):
+            parts = list(map(known.__getitem__, chunks))
+            if not text or not all([same for _, _, same in parts]):
+                out.append(None)
+                continue
+            if self.second.by_chunk and _NOT_ALONE.search(text):
+                a = _packed(self.first.encode(text))
+            else:
+                a = b"".join([a for a, _, _ in parts])
+            b = b"".join([b for _, b, _ in parts])
+            out.append(Tokenized(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -131,21 +166,19 @@ def _pair(first: str, pattern: str, second: str) -> TokenizerPair:
 
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
-    """Length of the one-to-one stretch at ``i, j``: equal ends at the shift ``j - i``."""
-    if a[i] != b[j]:
-        return 0
+    """Length of the one-to-one stretch at ``i, j``, where ends are equal, at the shift ``j - i``."""
     n = step = 1
     while True:
-        part = a[i + n : i + n + step]
-        if not part or part != b[j + n : j + n + step]:
+        part, other = a[i + n : i + n + step], b[j + n : j + n + step]
+        if part != other or not part:
             break
         n += len(part)
         step *= 2
-    while step > 1:
-        step //= 2
-        part = a[i + n : i + n + step]
-        if part and part == b[j + n : j + n + step]:
-            n += len(part)
+    # The first unequal ends lie within the last probe.
+    for x, y in zip(part, other):
+        if x != y:
+            break
+        n += 1
     return n
 
 
@@ -157,32 +190,39 @@ class Aligned(NamedTuple):
 
 def align(tokens: Tokenized, a_ends: list[int], b_ends: list[int]) -> Aligned:
     """Groups between common ends, and all overlapping tokens. Both end at the same offset."""
-    a, b = tokens
+    a, b = tokens.a.tolist(), tokens.b.tolist()
+    a_names, b_names = list(map(str, a)), list(map(str, b))
     i = j = n_groups = 0
+    last = len(a)
     out: list[str] = []
     left: list[int] = []
     right: list[int] = []
-    while i < len(a):
-        if n := stretch(a_ends, b_ends, i, j):
-            ones, others = a[i : i + n], b[j : j + n]
-            left += ones
-            right += others
-            out += [f"{x}|{y}" for x, y in zip(ones, others)]
+    while i < last:
+        x, y = a_ends[i], b_ends[j]
+        if x == y:
+            n = stretch(a_ends, b_ends, i, j)
+            left += a[i : i + n]
+            right += b[j : j + n]
+            out += map("|".join, zip(a_names[i : i + n], b_names[j : j + n]))
             n_groups += n
-            i, j = i + n, j + n
+            i += n
+            j += n
             continue
         at_i, at_j = i, j
         left.append(a[i])
         right.append(b[j])
-        while (gap := a_ends[i] - b_ends[j]) != 0:
-            if gap < 0:
+        while x != y:
+            if x < y:
                 i += 1
+                x = a_ends[i]
             else:
                 j += 1
+                y = b_ends[j]
             left.append(a[i])
             right.append(b[j])
-        i, j = i + 1, j + 1
-        out.append(f"{','.join(map(str, a[at_i:i]))}|{','.join(map(str, b[at_j:j]))}")
+        i += 1
+        j += 1
+        out.append(",".join(a_names[at_i:i]) + "|" + ",".join(b_names[at_j:j]))
         n_groups += 1
     pairs = np.array(left, dtype=np.int64) * BASE + np.array(right, dtype=np.int64)
     return Aligned(";".join(out), n_groups, pairs)
@@ -247,8 +287,8 @@ def _blocks(docs: DataFrame, files: tuple[str, str, str], digest: bool) -> DataF
         pair = _pair(*files)
         task, many, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = pair.tokens(text)
+            found = pair.tokens(batch.column(1).to_pylist())
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), found):
                 aligned = None
                 if tokens:
                     ends = (
