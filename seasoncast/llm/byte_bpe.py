@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from seasoncast.llm.common import SLICE_ROWS, map_slices
-from seasoncast.llm.memo import Memo
+from seasoncast.llm.memo import AgingMemo, Memo
 
 
 # Lengths to try where no longer token has the last three bytes.
@@ -42,11 +43,14 @@ class PrefixBpe:
                 lengths.setdefault(token[-3:], {1, 2}).add(len(token))
         # Lengths to try by the last three bytes, long ones first.
         self._lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
-        self._stems = Memo(self.last_tokens, limit=100_000)
-        self._neighbours = Memo(self._are_neighbours, limit=250_000)
-        self._pieces = Memo(self._piece, limit=150_000)
-        self._lone = Memo(self._lone_part, limit=50_000)
-        self._spaced = Memo(lambda part: self._lone_part(" " + part, 1), limit=500_000)
+        self._decimal = {i: str(i) for i in self.tokens}
+        self._id_bytes = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
+        self._halves = Memo(self._last_merge, limit=len(ranks))
+        self._stems = AgingMemo(self.last_tokens, limit=40_000)
+        self._neighbours = Memo(self._are_neighbours, limit=150_000)
+        self._pieces = AgingMemo(self._piece, limit=60_000)
+        self._lone = AgingMemo(self._lone_part, limit=20_000)
+        self._spaced = AgingMemo(lambda part: self._lone_part(" " + part, 1), limit=150_000)
         self._newline = self._pieces["\n"]
 
     @classmethod
@@ -55,21 +59,47 @@ class PrefixBpe:
             pairs = [line.split() for line in f if line.strip()]
         return cls({base64.b64decode(token): int(rank) for token, rank in pairs}, pattern)
 
-    def merged(self, raw: bytes) -> list[bytes]:
-        """Merges by rank until none is left: the definition of the encoding."""
+    def merged(self, raw: bytes, below: int | None = None) -> list[bytes]:
+        """Merges by rank until none is left: the definition of the encoding. With ``below``, only
+        merges of a lower rank."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
         ranks, none = self.ranks, len(self.ranks) + 1
         while len(parts) > 1:
             joined = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
             best = min(joined)
-            if best == none:
+            if best == none or (below is not None and best >= below):
                 break
             at = joined.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _are_neighbours(self, pair: bytes | tuple[bytes, bytes]) -> bool:
-        return self.merged(pair[0] + pair[1]) == list(pair)
+    def _last_merge(self, token: bytes) -> tuple[int, bytes, bytes]:
+        """Rank of the merge that makes a token, and its two halves; -1 for what no merge makes."""
+        parts = self.merged(token, self.ranks[token]) if len(token) > 1 else [token]
+        return (self.ranks[token], *parts) if len(parts) == 2 else (-1, token, token)
+
+    def _are_neighbours(self, pair: tuple[bytes, bytes]) -> bool:
+        """Whether no merge over the border comes before one of those that made the two tokens.
+
+        Their merges next to the border are undone, the latest first. Where the halves that meet
+        there make a token whose merge comes before the one just undone, it would have come first;
+        of equal merges the left one comes first.
+        """
+        left, right = pair
+        halves, ranks = self._halves, self.ranks
+        undone, at_left = len(ranks) + 1, False
+        while True:
+            over = ranks.get(left + right)
+            if over is not None and (over < undone or (over == undone and not at_left)):
+                return False
+            (one, _, inner), (two, outer, _) = halves[left], halves[right]
+            if one < 0 and two < 0:
+                return True
+            at_left = one > two
+            if at_left:
+                undone, left = one, inner
+            else:
+                undone, right = two, outer
 
     def last_tokens(self, raw: bytes, known: list[bytes] | None = None) -> list[bytes]:
         """Last token of each non-empty prefix; ``known`` are those of a beginning of ``raw``."""
@@ -87,9 +117,9 @@ class PrefixBpe:
 
     def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
-        if raw in self.ranks:
-            return self.ranks[raw].to_bytes(4, "little")
-        return b"".join(self.ranks[t].to_bytes(4, "little") for t in walk_back(raw, self.last_tokens(raw)))
+        if raw in self._id_bytes:
+            return self._id_bytes[raw]
+        return b"".join(map(self._id_bytes.__getitem__, walk_back(raw, self.last_tokens(raw))))
 
     def _lone_part(self, part: str, head: int = 0) -> bytes:
         if part[head].isspace() or part[-1].isspace():
@@ -116,6 +146,12 @@ class PrefixBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of their decimals joined by blanks and of what they decode to."""
+        ids = np.frombuffer(self.encode(text), dtype="<i4").tolist()
+        listed = " ".join(map(self._decimal.__getitem__, ids))
+        return len(ids), sha256(listed.encode()).hexdigest(), sha256(self.decode(ids)).hexdigest()
+
 
 class _NeedsContext(Exception):
     """White space at the end of a part: what it matches depends on its neighbours."""
@@ -197,6 +233,23 @@ def encode(
     return map_slices(given, add, schema)
 
 
+def digests(text: Column, path: str, pattern: str) -> Column:
+    """``struct<n_tokens, ids_sha256, decoded_sha256>`` of whole texts, encoded and decoded in one
+    pass that gives out nothing but these. Null and empty texts have no ids."""
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def made(texts: pa.Array) -> pa.Array:
+        bpe = load(path, pattern)
+        rows = [bpe.digests(t.as_py()) for t in texts]
+        n, ids, raw = zip(*rows) if rows else ((), (), ())
+        return pa.StructArray.from_arrays(
+            [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())],
+            ["n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    return made(text)
+
+
 def decode(ids: Column, path: str, pattern: str) -> Column:
     """Bytes of token ids; null has none. An id outside the vocabulary raises."""
 

@@ -161,14 +161,8 @@ def exact_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of all documents, and of the bytes that they decode to."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, *BYTE_BPE, keep_text=False)
-    decoded = encoded.withColumn("raw", byte_bpe.decode(F.col("ids"), *BYTE_BPE))
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("raw", 256).alias("decoded_sha256"),
-    )
+    made = docs.select("doc_id", byte_bpe.digests(F.col("text"), *BYTE_BPE).alias("d"))
+    return made.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
 
 
 @query("op10_site_quality")

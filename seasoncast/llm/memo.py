@@ -27,3 +27,22 @@ class Memo(dict):
 
     def all(self, keys: Iterable) -> Iterable:
         return map(self.__getitem__, keys)
+
+
+class AgingMemo(Memo):
+    """A memo that, when full, forgets only what was not asked for since it was last full."""
+
+    def __init__(self, make: Callable[[Any], Any], limit: int = 1_000_000, longest: int = 64):
+        super().__init__(make, limit, longest)
+        self.old: dict = {}
+
+    def __missing__(self, key: Hashable) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if not isinstance(key, (str, bytes)) or len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
