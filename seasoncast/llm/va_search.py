@@ -8,6 +8,7 @@ bounds, first a batch, then whatever could still reach the kth score found in it
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,33 +27,38 @@ FIRST_READ = 16
 
 
 def to_integers(vector: Column, scale: float = 256.0) -> Column:
-    """``floor(scale * x)`` for each component. It is held within ±sqrt(2^62 / dimension), so that
-    no inner product leaves 64 bits; with 64 components that is ±2^28."""
-    most = F.floor(F.sqrt(F.lit(2.0**62) / F.size(vector))).cast("double")
-    return F.transform(
-        vector,
-        lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, most), -most)).cast("long"),
-    )
+    """``floor(scale * x)`` for each component, a whole number as a double. One that is no finite
+    double raises."""
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * scale
+        error = F.raise_error(F.lit("a scaled component is not finite")).cast("double")
+        # Beyond 2^53 doubles are whole numbers; adding 0 leaves no negative zero.
+        floor = F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y) + 0.0
+        return F.when(F.abs(y) < math.inf, floor).otherwise(error)
+
+    return F.transform(vector, whole)
 
 
 def _approximate(rows: pd.DataFrame) -> pd.DataFrame:
     exact = stacked(rows["vec"])
     low, high = exact.min(axis=0), exact.max(axis=0)
-    step = np.maximum((high - low) / CELLS, 1e-300)
-    cells = np.minimum((exact - low) // step, CELLS - 1).astype(np.uint8)
+    # Halves, since a difference of huge values may be beyond all doubles.
+    half_step = np.maximum((high / 2 - low / 2) / CELLS, 1e-300)
+    cells = np.minimum((exact / 2 - low / 2) // half_step, CELLS - 1).astype(np.uint8)
     return pd.DataFrame(
         {
             "dim": [exact.shape[1]],
             "block": [rows["block"].iloc[0]],
             "low": [low],
-            "step": [step],
+            "half_step": [half_step],
             "ids": [rows["rep"].to_numpy()],
             "cells": [cells.tobytes()],
         }
     )
 
 
-APPROXIMATION = "dim int, block int, low array<double>, step array<double>, ids array<long>, cells binary"
+APPROXIMATION = "dim int, block int, low array<double>, half_step array<double>, ids array<long>, cells binary"
 
 
 def approximation_file(vectors: DataFrame, n_rows: int) -> DataFrame:
@@ -69,13 +75,16 @@ def _bounded(k: int):
             for row in batch.itertuples():
                 query = np.asarray(row.queries, dtype=np.float64).reshape(-1, row.dim)
                 cells = np.frombuffer(row.cells, dtype=np.uint8).reshape(-1, row.dim)
-                low = row.low + cells * row.step
-                high = low + row.step
+                low = 2 * (row.low / 2 + cells * row.half_step)
+                high = 2 * (row.low / 2 + (cells + 1.0) * row.half_step)
                 plus, minus = np.maximum(query, 0), np.minimum(query, 0)
-                least = plus @ low.T + minus @ high.T
-                most = plus @ high.T + minus @ low.T
-                slack = 1e-9 * (np.abs(query) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
-                least, most = least - slack, most + slack
+                with np.errstate(over="ignore", invalid="ignore"):
+                    least = plus @ low.T + minus @ high.T
+                    most = plus @ high.T + minus @ low.T
+                    slack = 1e-9 * (np.abs(query) @ np.maximum(np.abs(low), np.abs(high)).T) + 1e-6
+                    least, most = least - slack, most + slack
+                # Beyond all doubles a bound says nothing.
+                least[np.isnan(least)], most[np.isnan(most)] = -np.inf, np.inf
                 n = least.shape[1]
                 kth = np.partition(least, n - k, axis=1)[:, n - k] if n > k else least.min(axis=1)
                 q, v = np.nonzero(most >= kth[:, None])
@@ -91,15 +100,48 @@ def _bounded(k: int):
     return scan
 
 
+def _exact_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores in integers of any size; those beyond a long are held at its ends and marked."""
+    most = np.iinfo(np.int64).max
+    for batch in batches:
+        sums = [
+            sum(int(a) * int(b) for a, b in zip(q, v)) for q, v in zip(batch["_q"], batch["_v"])
+        ]
+        yield pd.DataFrame(
+            {
+                "query": batch["query"],
+                "rep": batch["rep"],
+                "score": np.array([max(-most, min(most, x)) for x in sums], dtype=np.int64),
+                "beyond": [abs(x) > most for x in sums],
+            }
+        )
+
+
 def _with_exact(found: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``query, rep, score, beyond``; products that may leave 64 bits are summed in Python."""
+
+    def largest(vector: str) -> Column:
+        return F.array_max(F.transform(vector, F.abs))
+
+    pairs = (
+        found.select("query", "rep")
+        .join(queries.select(F.col("rep").alias("query"), F.col("vec").alias("_q")), "query")
+        .join(vectors.select("rep", F.col("vec").alias("_v")), "rep")
+    )
+    fits = (F.size("_q") * largest("_q") * largest("_v") < 2.0**62) & (
+        F.greatest(largest("_q"), largest("_v")) < 2.0**62
+    )
     product = F.aggregate(
-        F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x
+        F.zip_with("_q", "_v", lambda a, b: a.cast("long") * b.cast("long")),
+        F.lit(0).cast("long"),
+        lambda s, x: s + x,
     )
-    return (
-        found.join(queries.select(F.col("rep").alias("query"), F.col("vec").alias("_q")), "query")
-        .join(vectors.select("rep", F.col("vec").alias("_v")), "rep")
-        .select("query", "rep", product.alias("score"))
+    common = pairs.filter(fits).select(
+        "query", "rep", product.alias("score"), F.lit(False).alias("beyond")
     )
+    schema = "query long, rep long, score long, beyond boolean"
+    large = pairs.filter(~fits).select("query", "rep", "_q", "_v")
+    return common.unionByName(large.mapInPandas(_exact_sums, schema))
 
 
 def _pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
@@ -114,9 +156,9 @@ def _pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def top_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query, rep, score``: at least the ``k`` vectors of the largest inner product for each
-    query, ties to the smaller ``rep``. Both sides are ``rep, vec`` with integer components and
-    unique ids; only vectors of the query's dimension are compared.
+    """``query, rep, score, beyond``: the ``k`` vectors of the largest inner product for each query,
+    ties to the smaller ``rep``. Both sides are ``rep, vec`` with whole components and unique ids;
+    only vectors of the query's dimension are compared. ``beyond`` marks scores that are no long.
     """
     n_queries = queries.count()
     va = cut_lineage(approximation_file(vectors, vectors.count()))
@@ -173,8 +215,9 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows of which ``is_query`` (over ``id``) holds.
 
-    Candidates are all rows but the query's own. Scores are inner products of ``floor(scale * x)``;
-    ties go to the smaller id. Vectors that are null, empty or hold a null or non-finite component
+    Candidates are all rows but the query's own. Scores are inner products of ``floor(scale * x)``,
+    exact for components of any size; one that is to be listed and does not fit a long raises. Ties
+    go to the smaller id. Vectors that are null, empty or hold a null or non-finite component
     take no part, nor do null ids; fewer candidates than ``k`` give fewer rows; a row that repeats
     its id counts once for each different vector. Equal vectors are searched once.
     """
@@ -192,17 +235,21 @@ def search(
     queries = cut_lineage(asking.select("rep", "vec").distinct())
     found = top_vectors(vectors.select("rep", "vec"), queries, k + 1)
     members = found.join(vectors.select("rep", "members"), "rep").select(
-        F.col("query").alias("_query"), F.explode("members").alias("vec_id"), "score"
+        F.col("query").alias("_query"), F.explode("members").alias("vec_id"), "score", "beyond"
     )
     own = Window.partitionBy("_query").orderBy(F.desc("score"), "vec_id")
     lists = members.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= k + 1)
     rank = F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     )
+    error = F.raise_error(F.lit("a score does not fit 64 bits")).cast("long")
     return (
         asking.select("query_id", F.col("rep").alias("_query"))
         .join(lists, "_query")
         .filter(F.col("query_id") != F.col("vec_id"))
-        .select("query_id", rank.alias("rank"), "vec_id", "score")
+        .select("query_id", rank.alias("rank"), "vec_id", "score", "beyond")
         .filter(F.col("rank") <= k)
+        .select(
+            "query_id", "rank", "vec_id", F.when(F.col("beyond"), error).otherwise(F.col("score")).alias("score")
+        )
     )
