@@ -9,9 +9,11 @@ enough to encode, to append, and to go on after an edit.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from hashlib import sha256
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,8 +27,6 @@ from seasoncast.llm.memo import AgingMemo, Memo
 
 # Lengths to try where no longer token has the last three bytes.
 _SHORT = (2, 1)
-# Tables of the first 4, 8 and 12 bytes of pieces are kept and appended to.
-_STEM, _STEMS = 4, 3
 
 
 class PrefixBpe:
@@ -45,12 +45,13 @@ class PrefixBpe:
         self._lengths = {end: sorted(n, reverse=True) for end, n in lengths.items()}
         self._decimal = {i: str(i) for i in self.tokens}
         self._id_bytes = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
+        self._size = {i: len(t) for t, i in ranks.items()}
+        self._endings: ahocorasick.Automaton | None = None
         self._halves = Memo(self._last_merge, limit=len(ranks))
-        self._stems = AgingMemo(self.last_tokens, limit=40_000)
-        self._neighbours = Memo(self._are_neighbours, limit=150_000)
-        self._pieces = AgingMemo(self._piece, limit=60_000)
-        self._lone = AgingMemo(self._lone_part, limit=20_000)
-        self._spaced = AgingMemo(lambda part: self._lone_part(" " + part, 1), limit=150_000)
+        self._neighbours = Memo(self._are_neighbours, limit=250_000)
+        self._pieces = AgingMemo(self._piece, limit=100_000)
+        self._lone = AgingMemo(self._lone_part, limit=30_000)
+        self._spaced = AgingMemo(lambda part: self._lone_part(" " + part, 1), limit=250_000)
         self._newline = self._pieces["\n"]
 
     @classmethod
@@ -78,14 +79,15 @@ class PrefixBpe:
         parts = self.merged(token, self.ranks[token]) if len(token) > 1 else [token]
         return (self.ranks[token], *parts) if len(parts) == 2 else (-1, token, token)
 
-    def _are_neighbours(self, pair: tuple[bytes, bytes]) -> bool:
-        """Whether no merge over the border comes before one of those that made the two tokens.
+    def _are_neighbours(self, pair: int) -> bool:
+        """Whether no merge over the border comes before one of those that made the two tokens,
+        whose ids are the upper and the lower half of ``pair``.
 
         Their merges next to the border are undone, the latest first. Where the halves that meet
         there make a token whose merge comes before the one just undone, it would have come first;
         of equal merges the left one comes first.
         """
-        left, right = pair
+        left, right = self.tokens[pair >> 32], self.tokens[pair & 0xFFFFFFFF]
         halves, ranks = self._halves, self.ranks
         undone, at_left = len(ranks) + 1, False
         while True:
@@ -101,16 +103,35 @@ class PrefixBpe:
             else:
                 undone, right = two, outer
 
+    def last_ids(self, raw: bytes) -> list[int]:
+        """Id of the last token of each non-empty prefix.
+
+        One run over the bytes names all tokens that end at each of them; of these, the one that is
+        a valid neighbour of the last token before it is the prefix's.
+        """
+        if self._endings is None:
+            self._endings = ahocorasick.Automaton()
+            for i, token in self.tokens.items():
+                self._endings.add_word(token.decode("latin-1"), (len(token), i))
+            self._endings.make_automaton()
+        last, neighbours = [-1] * len(raw), self._neighbours
+        for end, (n, own) in self._endings.iter(raw.decode("latin-1")):
+            if last[end] < 0 and (n > end or neighbours[last[end - n] << 32 | own]):
+                last[end] = own
+        return last
+
     def last_tokens(self, raw: bytes, known: list[bytes] | None = None) -> list[bytes]:
         """Last token of each non-empty prefix; ``known`` are those of a beginning of ``raw``."""
-        if known is None and len(raw) > _STEM:
-            known = self._stems[raw[: min((len(raw) - 1) // _STEM, _STEMS) * _STEM]]
-        last = list(known or ())
+        if not known:
+            return [self.tokens[i] for i in self.last_ids(raw)]
+        last = list(known)
         ranks, lengths, neighbours = self.ranks, self._lengths, self._neighbours
         for end in range(len(last) + 1, len(raw) + 1):
             for n in lengths.get(raw[max(0, end - 3) : end], _SHORT):
                 token = raw[end - n : end] if n <= end else None
-                if token in ranks and (n == end or neighbours[last[end - n - 1], token]):
+                if token in ranks and (
+                    n == end or neighbours[ranks[last[end - n - 1]] << 32 | ranks[token]]
+                ):
                     last.append(token)
                     break
         return last
@@ -119,7 +140,12 @@ class PrefixBpe:
         raw = piece.encode()
         if raw in self._id_bytes:
             return self._id_bytes[raw]
-        return b"".join(map(self._id_bytes.__getitem__, walk_back(raw, self.last_tokens(raw))))
+        last, size, end, ids = self.last_ids(raw), self._size, len(raw), []
+        while end:
+            ids.append(last[end - 1])
+            end -= size[ids[-1]]
+        ids.reverse()
+        return array("i", ids).tobytes()
 
     def _lone_part(self, part: str, head: int = 0) -> bytes:
         if part[head].isspace() or part[-1].isspace():
