@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -99,7 +100,7 @@ class Tokenized(NamedTuple):
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype=np.int32).tobytes()
+    return array("i", ids).tobytes()
 
 
 class TokenizerPair:
@@ -114,11 +115,13 @@ class TokenizerPair:
     ):
         self.first, self.second = ByteTokenizer(first, pattern), PieceTokenizer(second)
         self.limit, self.longest = limit, longest
-        self._known: dict[str, tuple[bytes, bytes, bool]] = {}
-        self._older: dict[str, tuple[bytes, bytes, bool]] = {}
+        self._known: dict[str, tuple[bytes, bytes | None]] = {}
+        self._older: dict[str, tuple[bytes, bytes | None]] = {}
+        most = max(len(self.first.lengths), len(self.second.lengths))
+        self.decimals = [str(i) for i in range(most)]
 
-    def _look_up(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes, bool]]:
-        """Ids of both for each chunk, and whether the second gives its bytes back."""
+    def _look_up(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes | None]]:
+        """Ids of both for each chunk; none of the second where it does not give the bytes back."""
         known, older, fresh = self._known, self._older, []
         for chunk in chunks.difference(known):
             if chunk in older:
@@ -132,7 +135,7 @@ class TokenizerPair:
             spelled = self.second.bytes.__getitem__
             for chunk, b in zip(fresh, self.second.encode_all(fresh)):
                 same = b"".join(map(spelled, b)) == chunk.encode()
-                out[chunk] = _packed(self.first.encode(chunk)), _packed(b), same
+                out[chunk] = _packed(self.first.encode(chunk)), _packed(b) if same else None
                 if len(chunk) <= self.longest:
                     known[chunk] = out[chunk]
         if len(known) >= self.limit:
@@ -148,14 +151,15 @@ class TokenizerPair:
         out: list[Tokenized | None] = []
         for text, chunks in zip(spaced, chunked):
             parts = list(map(known.__getitem__, chunks))
-            if not text or not all([same for _, _, same in parts]):
+            seconds = [b for _, b in parts]
+            if not text or None in seconds:
                 out.append(None)
                 continue
             if self.second.by_chunk and _NOT_ALONE.search(text):
                 a = _packed(self.first.encode(text))
             else:
-                a = b"".join([a for a, _, _ in parts])
-            b = b"".join([b for _, b, _ in parts])
+                a = b"".join([a for a, _ in parts])
+            b = b"".join(seconds)
             out.append(Tokenized(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)))
         return out
 
@@ -188,10 +192,12 @@ class Aligned(NamedTuple):
     pairs: np.ndarray  # a * BASE + b for every link
 
 
-def align(tokens: Tokenized, a_ends: list[int], b_ends: list[int]) -> Aligned:
+def align(
+    tokens: Tokenized, a_ends: list[int], b_ends: list[int], decimals: Sequence[str]
+) -> Aligned:
     """Groups between common ends, and all overlapping tokens. Both end at the same offset."""
     a, b = tokens.a.tolist(), tokens.b.tolist()
-    a_names, b_names = list(map(str, a)), list(map(str, b))
+    a_names, b_names = ([decimals[i] for i in ids] for ids in (a, b))
     i = j = n_groups = 0
     last = len(a)
     out: list[str] = []
@@ -295,7 +301,7 @@ def _blocks(docs: DataFrame, files: tuple[str, str, str], digest: bool) -> DataF
                         np.cumsum(t.lengths[x]).tolist()
                         for t, x in zip((pair.first, pair.second), tokens)
                     )
-                    aligned = align(tokens, *ends)
+                    aligned = align(tokens, *ends, pair.decimals)
                     if digest:
                         name = sha256(aligned.groups.encode()).hexdigest()
                         aligned = aligned._replace(groups=name)

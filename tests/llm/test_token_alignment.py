@@ -123,7 +123,7 @@ def test_alignment_of_random_cuts():
         size = rng.randint(1, 60)
         cut = lambda: sorted({*rng.sample(range(1, size + 1), rng.randint(0, size)), size})
         a, b = cut(), cut()
-        got = align(Tokenized(np.array(a), np.array(b)), a, b)  # a token's id is its end
+        got = align(Tokenized(np.array(a), np.array(b)), a, b, list(map(str, range(61))))  # a token's id is its end
         links = [
             (x, y)
             for s, x in zip([0, *a], a)
