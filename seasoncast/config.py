@@ -63,10 +63,6 @@ class RunConfig:
     example_season: str | None = None
     group_cols: tuple[str, ...] = ()
 
-    def __post_init__(self) -> None:
-        if self.group_cols and any(m.name == "RFModel" for m in self.models):
-            raise ValueError("RFModel is fitted to one panel; it goes without group_cols")
-
     @classmethod
     def from_dict(cls, raw: dict[str, Any]) -> RunConfig:
         geographies = raw.get("geographies")

@@ -1,32 +1,26 @@
-"""Random forests over a season-geography by month table, one forest per later month."""
+"""One random forest for all later months of a season, for many panels and cutoffs at once."""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from typing_extensions import Self
 
 from seasoncast.config import SeasonConfig
 from seasoncast.functions.season import month_in_season, to_season
-from seasoncast.operators.encode import encode_one_hot, fit_one_hot
+from seasoncast.models import trees
 from seasoncast.operators.impute import knn_impute
 from seasoncast.operators.prep import date_crosswalk, month_column
+from seasoncast.operators.ranking import with_row_index
 from seasoncast.operators.reshape import months_present, pivot_months
 from seasoncast.schema import require_columns, require_no_nulls, require_rows
 from seasoncast.sources.shared import cut_lineage, scratch_path
 
 LAST_MONTH = 11
-_PARALLEL_FITS = 8
 
 
 class Cutoff(NamedTuple):
@@ -35,17 +29,18 @@ class Cutoff(NamedTuple):
     season: str
     month: int
 
-    @property
-    def folder(self) -> str:
-        return f"{self.season.replace('/', '-')}-{self.month}"
-
 
 class ForestModel:
-    """Forecasts each later month of the season from the months up to the forecast date.
+    """Forecasts the later months of the season from the months up to the forecast date.
 
-    The months are filled from nearest neighbours first, over all rows, later ones included;
-    ``impute_as_of`` in ``params`` hides cells after the forecast date from that step. One
-    model covers one panel: trees of different panels have nothing in common.
+    A forest has all later months as targets of each tree, and season, geography and the earlier
+    months as features. Forests of all panels (``group_cols``) and forecast dates grow in one job;
+    their nodes are a table. The months are filled from nearest neighbours first, over all rows of
+    the panel, later ones included; ``impute_as_of`` in ``params`` hides cells after the forecast
+    date from that step. Further ``params``: ``n_estimators`` (100), ``seed`` (0), ``max_depth``
+    (none), ``bootstrap`` (true), and ``max_bins`` (1,024): splits are exact where a month of a
+    panel has no more different values than that. A panel without a season before a cutoff, or
+    without one from it on, has no forecasts for it; if that is so for all panels, it is an error.
     """
 
     def __init__(
@@ -59,20 +54,20 @@ class ForestModel:
         group_cols: Sequence[str] = (),
         date_column: str = "time_end",
     ) -> None:
-        require_columns(data, [date_column, "estimate", "season", "geography"])
-        if group_cols:
-            raise ValueError("a forest is fitted to one panel; filter the data to it")
+        require_columns(data, [*group_cols, date_column, "estimate", "season", "geography"])
         self.rows = month_column(data, season, date_column)
         self.forecast_dates = list(forecast_dates)
         self.params = dict(params)
         self.season = season
         self.quantiles = [float(q) for q in quantiles]
+        self.group_cols = list(group_cols)
         self.date_column = date_column
         self.months = months_present(self.rows)
-        self.encoders: dict[Cutoff, PipelineModel] = {}
-        self.models: dict[Cutoff, dict[int, RandomForestRegressionModel]] = {}
-        self._paths: dict[tuple[Cutoff, int], str] = {}
+        #: Nodes of all trees, with their level; the number of a cutoff is its place in ``numbered``.
+        self.nodes: DataFrame | None = None
+        self._path: str | None = None
         self._tables: dict[dt.date | None, DataFrame] = {}
+        self._indexed: dict[dt.date | None, DataFrame] = {}
 
     def cutoffs(self) -> dict[dt.date, Cutoff]:
         """Season and month of every forecast date."""
@@ -89,129 +84,164 @@ class ForestModel:
             raise AssertionError(f"forecast dates out of season: {outside}")
         return out
 
+    def _as_of(self, forecast_date: dt.date) -> dt.date | None:
+        return forecast_date if self.params.get("impute_as_of") else None
+
     def table(self, forecast_date: dt.date) -> DataFrame:
         """The complete month table; the same for all dates unless imputed as of the date."""
-        as_of = forecast_date if self.params.get("impute_as_of") else None
+        as_of = self._as_of(forecast_date)
         if as_of not in self._tables:
             rows = self.rows
             if as_of is not None:
                 known = F.col(self.date_column) <= F.lit(as_of)
                 rows = rows.withColumn("estimate", F.when(known, F.col("estimate")))
-            wide = pivot_months(rows, self.months)
-            complete = cut_lineage(knn_impute(wide, self.months))
-            self._tables[as_of] = require_no_nulls(complete)
+            wide = pivot_months(rows, self.months, group_cols=self.group_cols)
+            complete = cut_lineage(knn_impute(wide, self.months, self.group_cols))
+            require_no_nulls(complete.drop(*self.group_cols))
+            self._tables[as_of] = complete
         return self._tables[as_of]
 
-    def _split(self, cutoff: Cutoff) -> tuple[list[int], list[int]]:
-        given = [m for m in self.months if m <= cutoff.month]
-        wanted = [m for m in self.months if cutoff.month < m <= LAST_MONTH]
-        return given, wanted
+    def _numbered_panels(self, table: DataFrame) -> DataFrame:
+        """Add the group columns as ``_g0``, ``_g1`` and so on, and the panel's number ``_number``."""
+        if not self.group_cols:
+            return table.withColumn("_number", F.lit(0).cast("long"))
+        panels = table.select(*self.group_cols).distinct()
+        named = with_row_index(panels, self.group_cols, "_number").select(
+            *[F.col(c).alias(f"_g{i}") for i, c in enumerate(self.group_cols)], "_number"
+        )
+        return table.join(named, self._same_panel())
 
-    def fit(self) -> Self:
-        """Train on the seasons before the forecast season.
+    def _same_panel(self) -> Column:
+        """Group columns equal to ``_g0``, ``_g1`` and so on, nulls included."""
+        same = F.lit(True)
+        for i, c in enumerate(self.group_cols):
+            same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        return same
 
-        Dates that share season and month share forests. All forests train side by side: each
-        is a chain of small jobs, which leave most of a cluster idle on their own.
-        """
-        wanted = {c: d for d, c in self.cutoffs().items() if c not in self.models}
-        training = {c: self._training(d, c) for c, d in wanted.items()}
-        jobs = [(c, m) for c in wanted for m in self._split(c)[1]]
-        for cutoff in wanted:
-            self.models[cutoff] = {}
-        sizes = {c: train.count() for c, train in training.items()}
-        with ThreadPoolExecutor(_PARALLEL_FITS) as pool:
-            grown = pool.map(lambda j: self._grow(training[j[0]], sizes[j[0]], j[1]), jobs)
-            for (c, m), model in zip(jobs, grown):
-                self.models[c][m] = model
-        for train in training.values():
-            train.unpersist()
-        return self
+    def features(self, forecast_date: dt.date) -> DataFrame:
+        """The month table with ``panel``, ``idx`` (place in the panel, seasons in order), values
+        and keys of the months; the group columns go as ``_g0``, ``_g1`` and so on."""
+        as_of = self._as_of(forecast_date)
+        if as_of not in self._indexed:
+            named = self._numbered_panels(self.table(forecast_date)).select(
+                F.col("_number").alias("panel"),
+                *[f"_g{i}" for i in range(len(self.group_cols))],
+                "season",
+                "geography",
+                *[F.col(str(m)).alias(trees.value_column(m)) for m in self.months],
+            )
+            ordered = with_row_index(named, ["panel", "season", "geography"], "idx")
+            first = ordered.groupBy("panel").agg(F.min("idx").alias("_first"))
+            placed = ordered.join(first, "panel").withColumn("idx", F.col("idx") - F.col("_first"))
+            binned = trees.bin_keys(
+                cut_lineage(placed.drop("_first")), self.months, int(self.params.get("max_bins", 1024))
+            )
+            self._indexed[as_of] = cut_lineage(binned)
+        return self._indexed[as_of]
 
-    def _training(self, date: dt.date, cutoff: Cutoff) -> DataFrame:
-        table = self.table(date)
-        given, wanted = self._split(cutoff)
-        encoder = fit_one_hot(table, ["season", "geography"], [str(m) for m in given])
-        self.encoders[cutoff] = encoder
-        past = require_rows(
-            table.filter(F.col("season") < F.lit(cutoff.season)),
-            f"no season before {cutoff.season} to train on",
-        )
-        return encode_one_hot(encoder, past).select("features", *map(str, wanted)).persist()
+    def numbered(self) -> dict[Cutoff, list[dt.date]]:
+        """Forecast dates of each cutoff with a later month, in order."""
+        found: dict[Cutoff, list[dt.date]] = {}
+        for date, cutoff in sorted(self.cutoffs().items()):
+            if any(cutoff.month < m <= LAST_MONTH for m in self.months):
+                found.setdefault(cutoff, []).append(date)
+        return dict(sorted(found.items()))
+
+    def _rows_of(self, past: bool) -> DataFrame | None:
+        """Rows of all cutoffs: of the seasons before each, or of its own and later ones."""
+        found = None
+        for number, (cutoff, dates) in enumerate(self.numbered().items()):
+            before = F.col("season") < F.lit(cutoff.season)
+            own = require_rows(
+                self.features(dates[0]).filter(before if past else ~before),
+                f"no season before {cutoff.season} to train on"
+                if past
+                else f"no rows to forecast for {dates[0]}",
+            )
+            own = own.withColumns({"cutoff": F.lit(number), "last_given": F.lit(cutoff.month)})
+            found = own if found is None else found.unionByName(own)
+        return found
 
-    def _grow(self, train: DataFrame, n_rows: int, month: int) -> RandomForestRegressionModel:
-        forest = RandomForestRegressor(
-            labelCol=str(month),
-            leafCol="leaf",
-            numTrees=int(self.params.get("n_estimators", 100)),
-            maxDepth=int(self.params.get("max_depth", 30)),
-            maxBins=int(self.params.get("max_bins", 128)),
-            maxMemoryInMB=int(self.params.get("max_memory_mb", 512)),
-            featureSubsetStrategy="all",
-            # A bootstrap sample of a single row may come out empty.
-            bootstrap=n_rows > 1,
-            seed=int(self.params.get("seed", 0)),
+    def fit(self) -> Self:
+        """Train on the seasons before the forecast season. Dates that share season and month share
+        a forest."""
+        rows = self._rows_of(past=True)
+        if rows is None:
+            self._path = ""
+            return self
+        sizes = rows.groupBy("panel", "cutoff").agg(F.count("*").alias("n"))
+        samples = trees.draw_samples(
+            rows.join(sizes, ["panel", "cutoff"]),
+            int(self.params.get("n_estimators", 100)),
+            int(self.params.get("seed", 0)),
+            bool(self.params.get("bootstrap", True)),
         )
-        return forest.fit(train)
+        spark = self.rows.sparkSession
+        self._path = scratch_path(spark, "forest")
+        depth = self.params.get("max_depth")
+        trees.grow(samples, self.months, self._path, None if depth is None else int(depth))
+        self.nodes = spark.read.parquet(self._path)
+        return self
 
     def predict(self) -> DataFrame:
         """Quantiles over trees for the months after each forecast date."""
-        if not self.models:
+        if self._path is None:
             raise AssertionError("fit the model first")
-        parts = [self._predict_one(d, c) for d, c in self.cutoffs().items()]
-        return reduce(DataFrame.unionByName, parts)
-
-    def _predict_one(self, date: dt.date, cutoff: Cutoff) -> DataFrame:
-        models = self.models[cutoff]
-        rows = self.table(date).filter(F.col("season") >= F.lit(cutoff.season))
-        rows = require_rows(rows, f"no rows to forecast for {date}")
-        encoded = encode_one_hot(self.encoders[cutoff], rows).select(
-            "season", "geography", "features"
+        spark = self.rows.sparkSession
+        panel = [f"_g{i}" for i in range(len(self.group_cols))]
+        key = ["cutoff", *panel, "season", "geography"]
+        rows = self._rows_of(past=False)
+        if rows is None:
+            kinds = {f.name: f.dataType.simpleString() for f in self.rows.schema.fields}
+            groups = "".join(f"`{c}` {kinds[c]}, " for c in self.group_cols)
+            return spark.createDataFrame(
+                [],
+                f"{groups}forecast_date date, season string, geography {kinds['geography']}, "
+                f"quantile double, {self.date_column} date, estimate double",
+            )
+        values = [trees.value_column(m) for m in self.months]
+        grown = self.nodes.filter("path = ''").select(*trees.UNIT)
+        of_tree = rows.join(grown, ["panel", "cutoff"])
+        leaves = trees.reached(
+            of_tree.select(*trees.UNIT, "last_given", *key[1:], *values), self.nodes, self.months
         )
-        index = ["season", "geography"]
         quantiles = F.array(*[F.lit(q) for q in self.quantiles])
-        if not models:
-            return self._dated(
-                encoded.limit(0).select(*index, F.lit(0).cast("long").alias("t"),
-                                        F.lit(0.0).alias("quantile"), F.lit(0.0).alias("estimate")),
-                date,
-            )
-        for month, model in models.items():
-            model = model.copy().setLeafCol(f"leaf_{month}").setPredictionCol(f"mean_{month}")
-            encoded = model.transform(encoded)
-        leaves = F.array(
+        later = [(i, m) for i, m in enumerate(self.months) if m <= LAST_MONTH]
+        across = leaves.groupBy(*key, "last_given").agg(
+            *[F.percentile(F.get("means", F.lit(i)), quantiles).alias(f"e{m}") for i, m in later]
+        )
+        by_month = F.array(
             *[
                 F.struct(
                     F.lit(m).cast("long").alias("t"),
-                    vector_to_array(F.col(f"leaf_{m}")).alias("leaf"),
+                    F.arrays_zip(
+                        quantiles.alias("quantile"), F.col(f"e{m}").alias("estimate")
+                    ).alias("q"),
                 )
-                for m in models
+                for _, m in later
             ]
         )
         long = (
-            encoded.select(*index, F.explode(leaves).alias("m"))
-            .select(*index, "m.t", F.posexplode("m.leaf").alias("tree", "leaf"))
-            .withColumn("leaf", F.col("leaf").cast("int"))
+            across.select(*key, "last_given", F.explode(by_month).alias("m"))
+            .filter("m.t > last_given")
+            .select(*key, "m.t", F.explode("m.q").alias("q"))
+            .select(*key, "t", "q.quantile", "q.estimate")
         )
-        values = reduce(
-            DataFrame.unionByName, [self._leaf_values(cutoff, m) for m in models]
-        )
-        across = long.join(values, ["t", "tree", "leaf"]).groupBy(*index, "t").agg(
-            F.percentile("value", quantiles).alias("estimates")
-        )
-        return self._dated(
-            across.select(
-                *index,
-                "t",
-                F.explode(F.arrays_zip(quantiles.alias("quantile"), F.col("estimates"))).alias("q"),
-            ).select(*index, "t", "q.quantile", F.col("q.estimates").alias("estimate")),
-            date,
+        dates = spark.createDataFrame(
+            [(i, d) for i, own in enumerate(self.numbered().values()) for d in own],
+            "cutoff int, forecast_date date",
         )
+        return self._dated(long.join(dates, "cutoff"))
 
-    def _dated(self, long: DataFrame, date: dt.date) -> DataFrame:
+    def _dated(self, long: DataFrame) -> DataFrame:
         """Attach dates: null where a season has no row for the month."""
-        dates = date_crosswalk(self.rows, self.date_column)
-        return long.join(dates, ["season", "t"], "left").select(
-            F.lit(date).alias("forecast_date"),
+        dates = date_crosswalk(self.rows, self.date_column, self.group_cols).withColumnsRenamed(
+            {"season": "_season", "t": "_t"}
+        )
+        same = (F.col("season") == F.col("_season")) & (F.col("t") == F.col("_t"))
+        return long.join(dates, same & self._same_panel(), "left").select(
+            *[F.col(f"_g{i}").alias(c) for i, c in enumerate(self.group_cols)],
+            "forecast_date",
             "season",
             "geography",
             "quantile",
@@ -219,46 +249,13 @@ class ForestModel:
             "estimate",
         )
 
-    def _leaf_values(self, cutoff: Cutoff, month: int) -> DataFrame:
-        """(t, tree, leaf, value) of a forest, read from its saved nodes.
-
-        Leaves count in node order. A tree grown on an empty sample predicts 0 and is left out.
-        """
-        spark = self.rows.sparkSession
-        if (cutoff, month) not in self._paths:
-            path = scratch_path(spark, "forest")
-            self.models[cutoff][month].write().save(path)
-            self._paths[cutoff, month] = path
-        nodes = spark.read.parquet(f"{self._paths[cutoff, month]}/data").select(
-            F.col("treeID").alias("tree"), "nodeData.*"
-        )
-        empty = nodes.filter("id = 0 AND rawCount = 0").select("tree")
-        in_order = W.partitionBy("tree").orderBy("id")
-        return (
-            nodes.filter("leftChild < 0")
-            .withColumn("leaf", F.row_number().over(in_order) - 1)
-            .join(empty, "tree", "left_anti")
-            .select(
-                F.lit(month).cast("long").alias("t"),
-                "tree",
-                "leaf",
-                F.col("prediction").alias("value"),
-            )
-        )
-
     def save(self, path: str) -> None:
-        for cutoff, models in self.models.items():
-            self.encoders[cutoff].write().overwrite().save(f"{path}/{cutoff.folder}/encoder")
-            for month, model in models.items():
-                model.write().overwrite().save(f"{path}/{cutoff.folder}/month-{month}")
+        """Write the nodes, all that a fitted model consists of."""
+        if self.nodes is None:
+            raise AssertionError("nothing to save: fit the model first")
+        self.nodes.write.mode("overwrite").partitionBy("level").parquet(f"{path}/nodes")
 
     def load(self, spark: SparkSession, path: str) -> Self:
-        for cutoff in self.cutoffs().values():
-            base = f"{path}/{cutoff.folder}"
-            self.encoders[cutoff] = PipelineModel.load(f"{base}/encoder")
-            wanted = self._split(cutoff)[1]
-            self.models[cutoff] = {
-                m: RandomForestRegressionModel.load(f"{base}/month-{m}") for m in wanted
-            }
-            self._paths.update({(cutoff, m): f"{base}/month-{m}" for m in wanted})
+        self._path = f"{path}/nodes"
+        self.nodes = spark.read.parquet(self._path)
         return self

@@ -94,16 +94,3 @@ def test_report_tables_of_a_run(spark, tmp_path):
         assert sorted(order) == list("abcde")
     finally:
         MODELS.pop("Persistence")
-
-
-def test_a_forest_with_panels_is_refused():
-    raw = {
-        "run_id": "r",
-        "season": {"start_month": 7, "end_month": 4, "start_year": 2018, "end_year": 2020},
-        "models": [{"name": "RFModel"}],
-        "alpha": 0.1,
-        "forecast_dates": {"start": dt.date(2019, 10, 1), "end": dt.date(2019, 12, 1)},
-        "group_cols": ["panel"],
-    }
-    with pytest.raises(ValueError, match="one panel"):
-        RunConfig.from_dict(raw)
