@@ -12,18 +12,33 @@ from typing_extensions import Self
 
 from seasoncast.config import SeasonConfig
 from seasoncast.functions.curve import lpl_curve
-from seasoncast.models.curve_fit import PRIOR_NAMES, fit_curves
-from seasoncast.models.curve_predict import posterior_draws, posterior_summary, predict_curves
+from seasoncast.models.curve_fit import PRIOR_NAMES, fit_curves, training_rows
+from seasoncast.models.curve_predict import (
+    effect_summary,
+    posterior_draws,
+    posterior_summary,
+    predict_curves,
+)
+from seasoncast.models.curve_scales import effective_points, scale_design
+from seasoncast.models.curve_weights import CHECKED, draw_weights, weight_summary
 from seasoncast.operators.prep import curve_columns
 from seasoncast.schema import require_columns
 
 
+#: Stands for a null geography, which is a geography like others, while keys are joined.
+_NO_NAME = "\u0000"
+
+
+def _renamed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("geography", F.nullif(F.col("geography"), F.lit(_NO_NAME)))
+
+
 class CurveModel:
     """Logistic-plus-line curves with effects of season, geography and their pairs.
 
-    The posterior is approximated by a normal distribution at its mode, on log and logit
-    scales, with the effect scales and the concentration at their own modes. Uncertainty of
-    those last is not carried into the draws, so intervals are a little narrow.
+    The posterior is a mixture: for each of a few points of the effect scales, weighted by their
+    evidence, a normal distribution of the other parameters on log and logit scales. The
+    concentration is drawn on its own, as the curve does not depend on it.
     """
 
     def __init__(
@@ -48,9 +63,12 @@ class CurveModel:
         self.quantiles = list(quantiles)
         self.group_cols = list(group_cols)
         self.date_column = date_column
-        self.rows = curve_columns(data, season, date_column)
+        self.rows = curve_columns(data, season, date_column).withColumn(
+            "geography", F.coalesce("geography", F.lit(_NO_NAME))
+        )
         self.fits: DataFrame | None = None
         self.groups: DataFrame | None = None
+        self.design: DataFrame | None = None
         self._seasons: list[str] | None = None
 
     @property
@@ -70,36 +88,76 @@ class CurveModel:
             self.group_cols,
             self.date_column,
         )
+        self.design = scale_design(
+            self.fits, self.groups, [*self.group_cols, "forecast_date"], self.prior, self.seed
+        )
         return self
 
-    def _fitted(self) -> tuple[DataFrame, DataFrame]:
-        if self.fits is None or self.groups is None:
+    def _fitted(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        if self.fits is None or self.groups is None or self.design is None:
             raise AssertionError("fit the model first")
-        return self.fits, self.groups
+        return self.fits, self.groups, self.design
 
     def predict(self) -> DataFrame:
         """Forecasts for all dates in the data, those before the forecast date included."""
-        fits, groups = self._fitted()
-        return predict_curves(
-            self.rows,
-            fits,
-            groups,
-            self.seasons,
-            self.quantiles,
-            self.n_draws,
-            self.seed,
-            self.group_cols,
-            self.date_column,
+        fits, groups, design = self._fitted()
+        return _renamed(
+            predict_curves(
+                self.rows,
+                fits,
+                groups,
+                design,
+                self.seasons,
+                self.quantiles,
+                self.n_draws,
+                self.seed,
+                self.group_cols,
+                self.date_column,
+            )
         )
 
     def draws(self) -> DataFrame:
-        return posterior_draws(self._fitted()[0], self.n_draws, self.seed, self.group_cols)
+        """Draws of the shared parameters, the scales and D."""
+        fits, _, design = self._fitted()
+        return posterior_draws(fits, design, self.n_draws, self.seed, self.group_cols)
+
+    def weights(self, n_draws: int = CHECKED) -> DataFrame:
+        """Log importance weights of ``n_draws`` draws of each fit, from all its training rows."""
+        fits, groups, design = self._fitted()
+        keys = [*self.group_cols, "forecast_date"]
+        obs = training_rows(
+            self.rows, self.forecast_dates, self.seasons, keys, self.date_column
+        )
+        return draw_weights(
+            obs, fits, groups, design, self.prior, self.seed, self.group_cols, n_draws
+        )
 
     def summary(self) -> DataFrame:
-        return posterior_summary(self.draws(), self.group_cols)
+        """Mean, spread and quantiles of the shared parameters, the six scales and D.
+
+        Columns of the fit go with each: how many equally weighted points the design of scales is
+        worth, how many of ``CHECKED`` draws the weighted ones are worth, and their tail index;
+        above 0.7 the normal approximation does not hold there.
+        """
+        own = posterior_summary(self.draws(), self.group_cols)
+        keys = [*self.group_cols, "forecast_date"]
+        checked = weight_summary(self.weights(), self.group_cols)
+        return own.join(effective_points(self._fitted()[2], keys), keys).join(
+            checked.select(*keys, "effective_draws", "tail_index"), keys
+        )
+
+    def effects(self) -> DataFrame:
+        """Mean, spread and quantiles of all effects of seasons, geographies and their pairs."""
+        _, groups, design = self._fitted()
+        return _renamed(
+            effect_summary(
+                groups, design, self.seasons, self.n_draws, self.seed, self.group_cols
+            )
+        )
 
     def save(self, path: str) -> None:
-        fits, groups = self._fitted()
+        fits, groups, design = self._fitted()
+        design.write.mode("overwrite").parquet(f"{path}/design")
         fits.write.mode("overwrite").parquet(f"{path}/fits")
         groups.write.mode("overwrite").parquet(f"{path}/groups")
         labels = [(i, s) for i, s in enumerate(self.seasons)]
@@ -111,6 +169,7 @@ class CurveModel:
     def load(self, spark: SparkSession, path: str) -> Self:
         self.fits = spark.read.parquet(f"{path}/fits")
         self.groups = spark.read.parquet(f"{path}/groups")
+        self.design = spark.read.parquet(f"{path}/design")
         self._seasons = [r[0] for r in spark.read.parquet(f"{path}/seasons").orderBy("s").select("season").collect()]
         return self
 

@@ -64,7 +64,7 @@ def fit_curves(
     and sums at the mode. Raises if a fit is not settled after ``max_passes``.
     """
     fit_keys = [*group_cols, "forecast_date"]
-    obs = _training_rows(rows, forecast_dates, seasons, fit_keys, date_col)
+    obs = _laid_out(training_rows(rows, forecast_dates, seasons, fit_keys, date_col), fit_keys)
     groups, fits = _start(obs, fit_keys, len(seasons), prior)
     expressions = _row_expressions()
     for _ in range(max_passes):
@@ -87,14 +87,14 @@ def season_position(seasons: Sequence[str], season: Column) -> Column:
     return F.when(place > 0, place - 1).cast("int")
 
 
-def _training_rows(
+def training_rows(
     rows: DataFrame,
     forecast_dates: Sequence[dt.date],
     seasons: Sequence[str],
     fit_keys: list[str],
     date_col: str,
 ) -> DataFrame:
-    """As-of training rows, copies collapsed to a weight, laid out by group and chunk."""
+    """As-of training rows ``t, x, n`` of each group, copies collapsed to a weight ``w``."""
     group = [*fit_keys, "geography", "s"]
     values = {"t": F.col("t"), "x": F.col("N_vax"), "n": F.col("N_tot").cast("double")}
     flat = (
@@ -104,7 +104,12 @@ def _training_rows(
         .groupBy(*group, "t", "x", "n")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
-    flat = cut_lineage(flat)
+    return cut_lineage(flat)
+
+
+def _laid_out(flat: DataFrame, fit_keys: list[str]) -> DataFrame:
+    """Training rows by group and chunk."""
+    group = [*fit_keys, "geography", "s"]
     sizes = flat.groupBy(*group).agg(
         F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks")
     )
@@ -143,7 +148,9 @@ def _start(
             F.lit(sigma).cast(doubles).alias("sigma"),
             F.array_repeat(F.lit(0.0), len(sigma)).alias("pull"),
             F.array_repeat(F.lit(0.0), len(sigma)).alias("drift"),
+            F.array_repeat(F.lit(0.0), len(sigma)).alias("effective"),
             F.lit(prior["D_shape"] / prior["D_rate"]).alias("D"),
+            F.lit(0.0).alias("D_spread"),
             F.lit(0.0).alias("log_posterior"),
             F.lit(0).alias("passes"),
             F.lit(False).alias("converged"),
@@ -356,18 +363,20 @@ def _step(row: pd.Series, p: int, prior: dict[str, float]) -> dict:
     d_score, d_info, loglik = sums[-3:]
     new, cov = cm.update_theta(theta, score, information, sigma, prior)
     n_seasons = (p - 4) // 2
-    fresh = sigma.copy()
+    fresh, effective = sigma.copy(), np.zeros(len(sigma))
     for i, rate in ((0, prior["sigmaA_rate"]), (1, prior["sigmaM_rate"])):
         effects = slice(4 + i * n_seasons, 4 + (i + 1) * n_seasons)
         spread = (1 - np.diag(cov)[effects] / sigma[3 * i] ** 2).sum()
         fresh[3 * i] = cm.update_scale((new[effects] ** 2).sum(), spread, rate)
         fresh[3 * i + 1] = cm.update_scale(*scales[2 * i], rate)
         fresh[3 * i + 2] = cm.update_scale(*scales[2 * i + 1], rate)
+        effective[3 * i : 3 * i + 3] = spread, scales[2 * i][1], scales[2 * i + 1][1]
     pull = np.log(fresh / sigma)
     # Early effects are still on their way and would overstate their spread.
     settled = row["passes"] >= 4
     drift = cm.secant_step(pull, np.asarray(row["pull"]), np.asarray(row["drift"])) * settled
     moved = np.abs(new - theta) / np.sqrt(np.diag(cov))
+    D, D_spread = cm.update_concentration(row["D"], d_score, d_info, prior)
     close = settled and max(moved.max(), np.abs(pull).max()) < _CLOSE
     return {
         **row.drop("sums").to_dict(),
@@ -377,7 +386,9 @@ def _step(row: pd.Series, p: int, prior: dict[str, float]) -> dict:
         "sigma": sigma * np.exp(drift),
         "pull": pull,
         "drift": drift,
-        "D": cm.update_concentration(row["D"], d_score, d_info, prior),
+        "effective": effective,
+        "D": D,
+        "D_spread": D_spread,
         "log_posterior": loglik + cm.log_prior(theta, sigma, row["D"], prior),
         "passes": row["passes"] + 1,
         "converged": bool(close),

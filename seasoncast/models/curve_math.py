@@ -52,7 +52,9 @@ class Local:
 
     ``geo`` (B, 2) and ``pair`` (B, S, 2) are Newton steps of the effects on (A, M) for an
     unchanged ``theta``; the covariances are conditional; the slopes say how far the effects
-    give way when ``theta`` (B, 2, P) or a group's (A, M, K, tau) (B, S, 2, 4) moves.
+    give way when ``theta`` (B, 2, P) or a group's (A, M, K, tau) (B, S, 2, 4) moves. ``evidence``
+    is the log of the integral over the effects for an unchanged ``theta``, up to a constant that
+    does not depend on the scales.
     """
 
     geo: np.ndarray
@@ -63,6 +65,7 @@ class Local:
     pair_slope: np.ndarray
     score: np.ndarray
     information: np.ndarray
+    evidence: float
 
 
 def eliminate(
@@ -91,8 +94,24 @@ def eliminate(
     information = np.einsum("sip,sij,sjq->pq", J, R.sum(axis=0), J, optimize=True)
     information -= np.einsum("bpj,bjq->pq", coupling, geo_slope)
     theta_score = np.einsum("sip,si->p", J, r.sum(axis=0)) - np.einsum("bjp,bj->p", geo_slope, q)
+    evidence = 0.0
+    for gradient, cov, effects, precision in (
+        (own, pair_cov, pair, prior_pair),
+        (q, geo_cov, geo, prior_geo),
+    ):
+        gain = np.einsum("...i,...ij,...j->...", gradient, cov, gradient)
+        evidence += 0.5 * (gain + np.linalg.slogdet(cov)[1]).sum()
+        evidence += 0.5 * (np.log(precision) - precision * effects**2).sum()
     return Local(
-        geo_step, pair_step, geo_cov, pair_cov, geo_slope, pair_slope, theta_score, information
+        geo_step,
+        pair_step,
+        geo_cov,
+        pair_cov,
+        geo_slope,
+        pair_slope,
+        theta_score,
+        information,
+        float(evidence),
     )
 
 
@@ -159,10 +178,10 @@ def secant_step(pull: np.ndarray, last_pull: np.ndarray, last_step: np.ndarray)
     return np.clip(pull / np.clip(slope, 0.5, 2.5), -0.4, 0.4)
 
 
-def update_theta(
+def _theta_system(
     theta: np.ndarray, score: np.ndarray, information: np.ndarray, sigma: np.ndarray, prior: dict
 ) -> tuple[np.ndarray, np.ndarray]:
-    """One Newton step on the unconstrained scale: (new theta, covariance)."""
+    """Gradient and covariance on the unconstrained scale, priors included."""
     n_seasons = (len(theta) - 4) // 2
     mu_a, mu_m, K, tau = natural(theta)
     scale = slope_of_natural(theta)
@@ -178,18 +197,76 @@ def update_theta(
     grad[4:] -= precision * theta[4:]
     info[4:, 4:] += np.diag(precision)
     cov = np.linalg.inv((info + info.T) / 2)
+    return grad, (cov + cov.T) / 2
+
+
+def update_theta(
+    theta: np.ndarray, score: np.ndarray, information: np.ndarray, sigma: np.ndarray, prior: dict
+) -> tuple[np.ndarray, np.ndarray]:
+    """One Newton step on the unconstrained scale: (new theta, covariance)."""
+    n_seasons = (len(theta) - 4) // 2
+    grad, cov = _theta_system(theta, score, information, sigma, prior)
     step = cov @ grad
     step[:4] = np.clip(step[:4], -0.3, 0.3)
-    reach = 3 / np.sqrt(precision)
+    reach = 3 * np.repeat(sigma[[0, 3]], n_seasons)
     step[4:] = np.clip(step[4:], -reach, reach)
-    return theta + step, (cov + cov.T) / 2
+    return theta + step, cov
+
+
+def scale_evidence(
+    theta: np.ndarray, score: np.ndarray, information: np.ndarray, sigma: np.ndarray, prior: dict
+) -> float:
+    """Log of the integral over ``theta`` with the scales' prior, on the log scale, up to a constant.
+
+    ``score`` and ``information`` are those left when the local effects are eliminated at ``sigma``.
+    """
+    n_seasons = (len(theta) - 4) // 2
+    grad, cov = _theta_system(theta, score, information, sigma, prior)
+    spread = np.repeat(sigma[[0, 3]], n_seasons)
+    out = 0.5 * (grad @ cov @ grad + np.linalg.slogdet(cov)[1])
+    out -= (np.log(spread) + 0.5 * (theta[4:] / spread) ** 2).sum()
+    return float(out + (np.log(sigma) - scale_rates(prior) * sigma).sum())
+
+
+def scale_rates(prior: dict) -> np.ndarray:
+    return np.repeat([prior["sigmaA_rate"], prior["sigmaM_rate"]], 3)
+
+
+def unconstrained(natural_values: np.ndarray) -> np.ndarray:
+    """The first four entries of ``theta`` from (muA, muM, K, tau)."""
+    mu_a, mu_m, K, tau = natural_values
+    return np.array([np.log(mu_a / (1 - mu_a)), np.log(mu_m), np.log(K), np.log(tau / (1 - tau))])
+
+
+def scale_points(
+    sigma: np.ndarray, effective: np.ndarray, prior: dict, n: int, rng: np.random.Generator
+) -> tuple[np.ndarray, np.ndarray]:
+    """(n, 6) scales around their mode and the log density, up to a constant, of proposing each.
+
+    On the log scale they are normal, a quarter wider than the curvature says, in opposite pairs.
+    ``effective`` is the effective number of effects of each scale.
+    """
+    curvature = 2 * np.maximum(effective, 0.0) + scale_rates(prior) * sigma
+    spread = 1.25 / np.sqrt(np.maximum(curvature, 0.5))
+    half = rng.standard_normal((n // 2, len(sigma)))
+    z = np.concatenate([half, -half])
+    return sigma * np.exp(z * spread), -0.5 * (z**2).sum(axis=1)
+
+
+def shares_of_draws(weights: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` draws each point gets: evenly spaced marks on the summed weights."""
+    ends = np.cumsum(weights) / np.sum(weights)
+    marks = (np.arange(n) + 0.5) / n
+    return np.bincount(np.minimum(np.searchsorted(ends, marks), len(ends) - 1), minlength=len(ends))
 
 
-def update_concentration(D: float, score: float, information: float, prior: dict) -> float:
-    """One damped Newton step of log D with its gamma prior."""
+def update_concentration(
+    D: float, score: float, information: float, prior: dict
+) -> tuple[float, float]:
+    """D after one damped Newton step of log D with its gamma prior, and the spread of log D."""
     grad = D * score + prior["D_shape"] - prior["D_rate"] * D
     info = max(D * D * information - D * score, 0.0) + prior["D_rate"] * D
-    return float(D * np.exp(np.clip(grad / info, -0.3, 0.3)))
+    return float(D * np.exp(np.clip(grad / info, -0.3, 0.3))), float(info**-0.5)
 
 
 def log_prior(theta: np.ndarray, sigma: np.ndarray, D: float, prior: dict) -> float:
@@ -212,6 +289,33 @@ def draw_theta(theta: np.ndarray, cov: np.ndarray, n: int, rng: np.random.Genera
     return theta + rng.standard_normal((n, len(theta))) @ root.T
 
 
+def draw_effects(
+    local: Local,
+    at: int,
+    theta: np.ndarray,
+    thetas: np.ndarray,
+    rng: np.random.Generator,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deviations of the effects of geography ``at`` from their mode, jointly with ``thetas``:
+    (n, 2) of its own and (n, S, 2) of its seasons, and the log density (n,) of drawing them."""
+    n_seasons = local.pair_cov.shape[1]
+    J = season_design(n_seasons)
+    shift = on_own_scale(thetas) - on_own_scale(theta)
+    z_geo = rng.standard_normal((len(shift), 2))
+    z_pair = rng.standard_normal((len(shift), n_seasons, 2))
+    geo_root = np.linalg.cholesky(local.geo_cov[at])
+    pair_roots = np.linalg.cholesky(local.pair_cov[at])
+    geo_part = -shift @ local.geo_slope[at].T + z_geo @ geo_root.T
+    group = np.einsum("sip,np->nsi", J, shift)
+    group[..., :2] += geo_part[:, None]
+    pair_part = -np.einsum("sij,nsj->nsi", local.pair_slope[at], group)
+    pair_part += np.einsum("sij,nsj->nsi", pair_roots, z_pair)
+    log_density = -0.5 * (z_geo**2).sum(axis=1) - 0.5 * (z_pair**2).sum(axis=(1, 2))
+    log_density -= np.log(np.diag(geo_root)).sum()
+    log_density -= np.log(np.einsum("sii->si", pair_roots)).sum()
+    return geo_part, pair_part, log_density
+
+
 def draw_group(
     local: Local,
     at: int,
@@ -222,17 +326,47 @@ def draw_group(
     rng: np.random.Generator,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(n, S, 2) draws of (A, M) of geography ``at`` and (n, 2) of (K, tau), jointly with ``thetas``."""
-    n_seasons = pair.shape[1]
-    J = season_design(n_seasons)
-    own, centre = on_own_scale(thetas), on_own_scale(theta)
-    shift = own - centre
-    geo_part = -shift @ local.geo_slope[at].T
-    geo_part += rng.standard_normal((len(shift), 2)) @ np.linalg.cholesky(local.geo_cov[at]).T
-    group = np.einsum("sip,np->nsi", J, shift)
-    group[..., :2] += geo_part[:, None]
-    pair_part = -np.einsum("sij,nsj->nsi", local.pair_slope[at], group)
-    roots = np.linalg.cholesky(local.pair_cov[at])
-    pair_part += np.einsum("sij,nsj->nsi", roots, rng.standard_normal((len(shift), n_seasons, 2)))
-    shared = np.einsum("sip,np->nsi", J, own)
+    geo_part, pair_part, _ = draw_effects(local, at, theta, thetas, rng)
+    own = on_own_scale(thetas)
+    shared = np.einsum("sip,np->nsi", season_design(pair.shape[1]), own)
     am = shared[..., :2] + (geo[at] + geo_part)[:, None] + pair[at] + pair_part
     return am, own[:, 2:4]
+
+
+def theta_density(
+    thetas: np.ndarray, theta: np.ndarray, cov: np.ndarray, sigma: np.ndarray, prior: dict
+) -> np.ndarray:
+    """(n,) log prior of draws on the unconstrained scale less the log density of drawing them."""
+    mu_a, mu_m, K, tau = natural(thetas).T
+    out = np.zeros(len(thetas))
+    for p, name in ((mu_a, "muA"), (tau, "tau")):
+        out += prior[f"{name}_shape1"] * np.log(p) + prior[f"{name}_shape2"] * np.log1p(-p)
+    for value, name in ((mu_m, "muM"), (K, "K")):
+        out += prior[f"{name}_shape"] * np.log(value) - prior[f"{name}_rate"] * value
+    spread = np.repeat(sigma[[0, 3]], (len(theta) - 4) // 2)
+    out -= (0.5 * (thetas[:, 4:] / spread) ** 2 + np.log(spread)).sum(axis=1)
+    out += (np.log(sigma) - scale_rates(prior) * sigma).sum()
+    gap = thetas - theta
+    out += 0.5 * (gap * np.linalg.solve(cov, gap.T).T).sum(axis=1)
+    return out + 0.5 * np.linalg.slogdet(cov)[1]
+
+
+def effects_density(
+    geo: np.ndarray, pair: np.ndarray, log_drawn: np.ndarray, sigma: np.ndarray
+) -> np.ndarray:
+    """(n,) log prior of a geography's effects (n, 2) and (n, S, 2) less that of drawing them."""
+    own, both = sigma[[1, 4]], sigma[[2, 5]]
+    out = -(0.5 * (geo / own) ** 2 + np.log(own)).sum(axis=1)
+    out -= (0.5 * (pair / both) ** 2 + np.log(both)).sum(axis=(1, 2))
+    return out - log_drawn
+
+
+def tail_index(log_weights: np.ndarray) -> float:
+    """Hill's index of the largest weights: below 0.5 their variance is finite, above 0.7 they are
+    not to be trusted. The largest fifth of them counts, at most three times the root of all."""
+    n = len(log_weights)
+    many = int(min(n / 5, 3 * n**0.5))
+    if many < 2:
+        return float("nan")
+    top = np.sort(log_weights)[-many - 1 :]
+    return float((top[1:] - top[0]).mean())

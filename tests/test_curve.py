@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from seasoncast.config import SeasonConfig
 from seasoncast.functions import curve
 from seasoncast.functions.quantile import interpolated
-from seasoncast.models import CurveModel, curve_fit
+from seasoncast.models import CurveModel, curve_fit, curve_predict
+from seasoncast.models import curve_math as cm
 from seasoncast.models.curve_math import natural
 
 PRIOR = {
@@ -160,7 +161,7 @@ def test_fit_covers_the_true_curve(spark, tmp_path):
         F.avg(F.abs(F.col("mid") - F.col("v"))).alias("error"),
     ).first()
     assert checks["ordered"] and checks["covered"] > 0.88 and checks["error"] < 0.02
-    assert fitted.summary().count() == 8 * 4
+    assert fitted.summary().count() == 8 * 11
 
     # A loaded model repeats the numbers of the one that was saved.
     path = str(tmp_path / "curve")
@@ -169,3 +170,187 @@ def test_fit_covers_the_true_curve(spark, tmp_path):
     keys = ["panel", "forecast_date", "season", "geography", "time_end", "quantile"]
     both = preds.join(again.withColumnRenamed("estimate", "again"), keys)
     assert both.agg(F.max(F.abs(F.col("estimate") - F.col("again")))).first()[0] < 1e-12
+
+
+def test_hidden_cells_are_covered(spark):
+    """Cells after the forecast date alone, on 30 panels that nothing was tuned on."""
+    data = simulated(spark, panels=30, seed=2024)
+    date = dt.date(2015, 11, 1)
+    preds = model(data, [date]).fit().predict().filter(F.col("time_end") > F.lit(date))
+    wide = preds.groupBy("panel", "season", "geography", "time_end").agg(
+        *[F.max(F.when(F.col("quantile") == q, F.col("estimate"))).alias(n)
+          for q, n in ((0.025, "low"), (0.975, "high"))]
+    ).join(data, ["panel", "season", "geography", "time_end"])
+    checks = wide.agg(
+        F.count("*").alias("cells"),
+        F.avg(F.col("v").between(F.col("low"), F.col("high")).cast("int")).alias("covered"),
+        F.avg(F.col("high") - F.col("low")).alias("width"),
+    ).first()
+    assert checks["cells"] == 30 * 5 * 5
+    assert checks["covered"] >= 0.93 and checks["width"] < 0.2
+
+
+def exact_scales(sums, at, prior, grid):
+    """Log evidence of scales by one dense normal integral over all effects and parameters."""
+    score, info, geo, pair = sums
+    n_geo, n_seasons = score.shape[:2]
+    p = 4 + 2 * n_seasons
+    size = p + 2 * n_geo + 2 * n_geo * n_seasons
+    slope = np.ones(size)
+    slope[:p] = cm.slope_of_natural(at)
+    grad, hess = np.zeros(size), np.zeros((size, size))
+    for b in range(n_geo):
+        for s in range(n_seasons):
+            J = np.zeros((4, size))
+            J[:4, :4] = np.eye(4)
+            for i in (0, 1):
+                J[i, 4 + i * n_seasons + s] = 1
+                J[i, p + 2 * b + i] = 1
+                J[i, p + 2 * n_geo + 2 * (b * n_seasons + s) + i] = 1
+            grad += J.T @ score[b, s]
+            hess += J.T @ info[b, s] @ J
+    grad, hess = grad * slope, hess * np.outer(slope, slope)
+    mu_a, mu_m, K, tau = cm.natural(at)
+    for i, v, name in ((0, mu_a, "muA"), (3, tau, "tau")):
+        one, two = prior[f"{name}_shape1"], prior[f"{name}_shape2"]
+        grad[i] += one - (one + two) * v
+        hess[i, i] += (one + two) * v * (1 - v)
+    for i, v, name in ((1, mu_m, "muM"), (2, K, "K")):
+        grad[i] += prior[f"{name}_shape"] - prior[f"{name}_rate"] * v
+        hess[i, i] += prior[f"{name}_rate"] * v
+    effects = np.concatenate([at[4:], geo.ravel(), pair.ravel()])
+    out = []
+    for sigma in grid:
+        spread = np.concatenate(
+            [np.repeat(sigma[[0, 3]], n_seasons), np.tile(sigma[[1, 4]], n_geo), np.tile(sigma[[2, 5]], n_geo * n_seasons)]
+        )
+        g, h = grad.copy(), hess.copy()
+        g[4:] -= effects / spread**2
+        h[4:, 4:] += np.diag(spread**-2.0)
+        value = 0.5 * (g @ np.linalg.solve(h, g) - np.linalg.slogdet(h)[1])
+        value -= (np.log(spread) + 0.5 * (effects / spread) ** 2).sum()
+        out.append(value + (np.log(sigma) - cm.scale_rates(prior) * sigma).sum())
+    return np.array(out)
+
+
+def test_evidence_of_scales_equals_one_dense_integral():
+    rng = np.random.default_rng(1)
+    n_geo, n_seasons = 3, 4
+    roots = rng.normal(size=(n_geo, n_seasons, 4, 4)) * 30
+    info = roots @ roots.transpose(0, 1, 3, 2)
+    info[1, 2] = 0  # a pair without rows
+    score = rng.normal(size=(n_geo, n_seasons, 4)) * 40
+    score[1, 2] = 0
+    geo, pair = rng.normal(size=(n_geo, 2)) * 0.01, rng.normal(size=(n_geo, n_seasons, 2)) * 0.01
+    at = np.concatenate([[-0.6, -2.5, 3.2, -0.8], rng.normal(size=2 * n_seasons) * 0.01])
+    grid = np.exp(rng.normal(size=(5, 6))) / 80
+    want = exact_scales((score, info, geo, pair), at, PRIOR, grid)
+    got = []
+    for sigma in grid:
+        local = cm.eliminate(score, info, geo, pair, sigma)
+        shared = cm.scale_evidence(at, local.score, local.information, sigma, PRIOR)
+        got.append(local.evidence + shared)
+    # Equal up to a constant.
+    assert np.diff(got) == pytest.approx(np.diff(want), rel=1e-7, abs=1e-7)
+
+
+def test_scale_points_and_shares():
+    sigma, effective = np.full(6, 0.02), np.array([4.0, 3.0, 20.0, 0.0, 0.0, 0.0])
+    points, proposed = cm.scale_points(sigma, effective, PRIOR, 8, np.random.default_rng(0))
+    assert points.shape == (8, 6) and np.allclose(points[:4] * points[4:], sigma**2)
+    assert proposed == pytest.approx(np.tile(proposed[:4], 2))
+    assert cm.shares_of_draws(np.array([0.5, 0.0, 0.25, 0.25]), 100).tolist() == [50, 0, 25, 25]
+    assert cm.shares_of_draws(np.array([1e-9, 1.0]), 7).tolist() == [0, 7]
+
+
+def test_summary_and_effects(spark):
+    data = simulated(spark, panels=1, seed=9).withColumn(
+        "geography", F.when(F.col("geography") != "g4", F.col("geography"))
+    )
+    fitted = model(data, [dt.date(2015, 12, 1)]).fit()
+    summary = {r.parameter: r for r in fitted.summary().collect()}
+    assert set(summary) == {
+        "muA", "muM", "K", "tau", "D",
+        *(f"sigma{p}_{f}" for p in "AM" for f in ("season", "geography", "season_geo")),
+    }
+    assert all(r["q05"] < r["median"] < r["q95"] and r["std"] > 0 for r in summary.values())
+    assert 1 <= summary["D"]["effective_points"] <= 32
+    effects = fitted.effects().collect()
+    count = {f: sum(r.feature == f for r in effects) for f in ("season", "geography", "season_geo")}
+    # A null geography is a geography.
+    assert count == {"season": 12, "geography": 10, "season_geo": 60}
+    assert sum(r.geography is None for r in effects if r.feature == "geography") == 2
+    assert fitted.predict().filter("geography IS NULL").count() == 60 * 3
+
+
+def test_weights_are_posterior_over_proposal(spark):
+    """Against a direct evaluation of both densities for one geography and two seasons."""
+    data = simulated(spark, panels=1, seed=4, n_seasons=2, n_geo=1)
+    date = dt.date(2011, 12, 1)
+    fitted = model(data, [date]).fit()
+    got = sorted(fitted.weights(40).collect(), key=lambda r: r.draw)
+    assert [r.draw for r in got] == list(range(40))
+    points = sorted(fitted.design.collect(), key=lambda r: r.point)
+    known = curve_predict._points_and_groups(fitted.design, fitted.groups, ["panel", "forecast_date", "shard"]).toPandas()
+    keys = ["panel", "forecast_date"]
+    drawn, place = curve_predict._drawn_points(known, np.array(["g0"]), keys, 40, fitted.seed)
+    evidence = {tuple(p.sigma): p.evidence for p in points}
+    covs = {tuple(p.sigma): np.array(p["cov"]).reshape(8, 8) for p in points}
+    D = fitted.fits.first()["D"]
+    rows = [r for r in fitted.rows.collect() if r.time_end <= date]
+    rng = curve_predict.generator(fitted.seed, "p0", date, "g0")
+    want, valid = [], []
+    for d in drawn:
+        geo, pair, _ = cm.draw_effects(d.local, 0, d.theta, d.thetas, rng)
+        for i, theta in enumerate(d.thetas):
+            own = cm.on_own_scale(theta)
+            g, p = d.geo[0] + geo[i], d.pair[0] + pair[i]
+            value, lowest = cm.log_prior(theta, d.sigma, 1.0, PRIOR) + PRIOR["D_rate"], 1.0
+            value += np.log(cm.slope_of_natural(theta)[:4]).sum() + np.log(d.sigma).sum()
+            value -= np.sum(0.5 * (g / d.sigma[[1, 4]]) ** 2 + np.log(d.sigma[[1, 4]]))
+            value -= np.sum(0.5 * (p / d.sigma[[2, 5]]) ** 2 + np.log(d.sigma[[2, 5]]))
+            for r in rows:
+                s = int(r.season[:4]) - 2010
+                A, M = (own[j] + own[4 + 2 * j + s] + g[j] + p[s, j] for j in (0, 1))
+                v = A / (1 + math.exp(-own[2] * (r.t - own[3]))) + M * r.t
+                lowest = min(lowest, v)
+                a, b = max(v, 1e-6) * D, (1 - max(v, 1e-6)) * D
+                value += math.lgamma(r.N_vax + a) - math.lgamma(a) + math.lgamma(D) - math.lgamma(b)
+                value += math.lgamma(r.N_tot - r.N_vax + b) - math.lgamma(r.N_tot + D)
+            # Densities of the draw: shared parameters, then effects given them.
+            gap = theta - d.theta
+            cov = covs[tuple(d.sigma)]
+            value += 0.5 * gap @ np.linalg.solve(cov, gap) + 0.5 * np.linalg.slogdet(cov)[1]
+            shift = own - cm.on_own_scale(d.theta)
+            dev = geo[i] + d.local.geo_slope[0] @ shift
+            value += 0.5 * dev @ np.linalg.solve(d.local.geo_cov[0], dev)
+            value += 0.5 * np.linalg.slogdet(d.local.geo_cov[0])[1]
+            for s in (0, 1):
+                group = cm.season_design(2)[s] @ shift
+                group[:2] += geo[i]
+                dev = pair[i, s] + d.local.pair_slope[0, s] @ group
+                value += 0.5 * dev @ np.linalg.solve(d.local.pair_cov[0, s], dev)
+                value += 0.5 * np.linalg.slogdet(d.local.pair_cov[0, s])[1]
+            want.append(value - evidence[tuple(d.sigma)])
+            valid.append(lowest > 1e-4)
+    # Equal up to a constant wherever the curve stays above 0.
+    gap = (np.array([r.log_weight for r in got]) - want)[valid]
+    assert sum(valid) > 20 and np.ptp(gap) < 1e-5
+
+
+def test_tail_index_tells_heavy_tails():
+    rng = np.random.default_rng(0)
+    for shape in (0.3, 0.9):
+        heavy = shape * rng.exponential(size=4000)  # logs of Pareto weights
+        assert cm.tail_index(heavy) == pytest.approx(shape, rel=0.25)
+    assert cm.tail_index(np.zeros(100)) == 0.0 and math.isnan(cm.tail_index(np.zeros(3)))
+
+
+def test_a_skewed_posterior_shows_in_the_weights(spark):
+    """Hardly any data: the posterior of the slopes is bounded below and far from normal."""
+    good = simulated(spark, panels=1, seed=5)
+    poor = good.withColumns({"N_tot": F.lit(3), "estimate": F.lit(0.0), "panel": F.lit("poor")})
+    fitted = model(good.unionByName(poor), [dt.date(2015, 12, 1)]).fit()
+    found = {r.panel: r for r in fitted.summary().filter("parameter = 'muA'").collect()}
+    assert found["poor"]["tail_index"] > found["p0"]["tail_index"]
+    assert 1 <= found["poor"]["effective_draws"] < found["p0"]["effective_draws"] <= 200
