@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasoncast.config import ModelConfig, interval_quantiles
 from seasoncast.functions import curve
+from seasoncast.functions.prior import log_prior
 from seasoncast.functions.quantile import interpolated
 from seasoncast.functions.season import (
     days_in_season,
@@ -29,6 +31,7 @@ from seasoncast.operators.evaluate import eos_abs_diff, score_forecast_season
 from seasoncast.operators.impute import knn_impute
 from seasoncast.operators.last_date import rows_at_last_date
 from seasoncast.plans import report
+from seasoncast.schema import require_columns, require_no_nulls
 from seasoncast.sources import tables
 from seasoncast.sources.orders_panel import SEASON, orders_panel, table
 from seasoncast.sources.shared import cut_lineage, scratch_path
@@ -42,6 +45,14 @@ EXCLUDED = ("NATION_22", "NATION_23")
 SCORED_SEASON = "1999/2000"
 FORECAST_DATES = [dt.date(1999, 10, 1), dt.date(1999, 12, 1), dt.date(2000, 3, 1)]
 ALPHA = 0.05
+PANELS = ("o_orderpriority",)
+# The published configuration of the curve's priors and draws.
+PRIOR = {
+    "seed": 42, "muA_shape1": 100.0, "muA_shape2": 180.0, "sigmaA_rate": 80.0,
+    "tau_shape1": 100.0, "tau_shape2": 225.0, "K_shape": 150.0, "K_rate": 6.0,
+    "muM_shape": 2.0, "muM_rate": 25.0, "sigmaM_rate": 80.0, "D_shape": 1000.0, "D_rate": 3.0,
+    "num_samples": 500, "num_chains": 4,
+}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -342,7 +353,8 @@ def one_hot(spark, sf_dir):
     )
 
 
-def _impute_sql() -> str:
+def _complete_sql() -> str:
+    """CTEs up to ``full_cells``: every month of every row, gaps filled."""
     months = range(10)
     key = "o_orderpriority, season, geography"
     wide = ", ".join(f"max(estimate) FILTER ({MONTH} = {m}) AS m{m}" for m in months)
@@ -351,7 +363,6 @@ def _impute_sql() -> str:
     cells = " UNION ALL ".join(
         f"SELECT {key}, {m} AS m, m{m} AS y FROM wide" for m in months
     )
-    out = ", ".join(f"round(max(y) FILTER (m = {m}), 9) AS \"{m}\"" for m in months)
     return f"""WITH {_panel_sql("o_orderpriority")},
 wide AS (SELECT {key}, {wide} FROM data GROUP BY ALL),
 cells AS ({cells}),
@@ -367,8 +378,12 @@ ranked AS (SELECT c.o_orderpriority, c.season, c.geography, c.m, d.y,
 near AS (SELECT {key}, m, avg(y) AS y FROM ranked WHERE place <= 2 GROUP BY ALL),
 means AS (SELECT o_orderpriority, m, avg(y) AS y FROM cells GROUP BY ALL),
 full_cells AS (SELECT {key}, m, coalesce(c.y, n.y, a.y) AS y FROM cells c
-  LEFT JOIN near n USING (o_orderpriority, season, geography, m) JOIN means a USING (o_orderpriority, m))
-SELECT {key}, {out} FROM full_cells GROUP BY ALL"""
+  LEFT JOIN near n USING (o_orderpriority, season, geography, m) JOIN means a USING (o_orderpriority, m))"""
+
+
+def _impute_sql() -> str:
+    out = ", ".join(f"round(max(y) FILTER (m = {m}), 9) AS \"{m}\"" for m in range(10))
+    return f"{_complete_sql()} SELECT o_orderpriority, season, geography, {out} FROM full_cells GROUP BY ALL"
 
 
 @query("knn_impute", _impute_sql())
@@ -606,6 +621,29 @@ def quantile_names(spark, sf_dir):
     )
 
 
+@query("scan_raw", f"WITH {_panel_sql()} SELECT * FROM panel")
+def scanned_raw(spark, sf_dir):
+    """The raw panel, written and read with its declared schema."""
+    path = scratch_path(spark, "raw")
+    tables.write_table(orders_panel(spark, sf_dir), path)
+    return tables.read_raw(spark, path)
+
+
+@query("data_roundtrip", f"{DATA} SELECT * FROM data")
+def data_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "data")
+    tables.write_table(clean_panel(spark, sf_dir), path)
+    return tables.read_data(spark, path)
+
+
+@query("scores_roundtrip", f"{SCORES} SELECT * FROM scores")
+def scores_roundtrip(spark, sf_dir):
+    data, path = clean_panel(spark, sf_dir), scratch_path(spark, "scores")
+    scores = eos_abs_diff(data, formula_predictions(data), ["season", "geography"])
+    tables.write_table(scores, path)
+    return tables.read_scores(spark, path)
+
+
 @query("prediction_roundtrip", f"{PREDS} SELECT * FROM preds")
 def prediction_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "predictions")
@@ -741,15 +779,83 @@ def lpl_quantiles(spark, sf_dir):
     )
 
 
+def _prior_sql() -> str:
+    def beta(p: str, a: float, b: float) -> str:
+        constant = f"lgamma({a + b}::DOUBLE) - lgamma({a}::DOUBLE) - lgamma({b}::DOUBLE)"
+        return f"{constant} + {a - 1} * ln({p}) + {b - 1} * ln(1 - {p})"
+
+    def gamma(x: str, shape: float, rate: float) -> str:
+        return f"{shape} * ln({rate}::DOUBLE) - lgamma({shape}::DOUBLE) + {shape - 1} * ln({x}) - {rate} * {x}"
+
+    scales = " + ".join(f"(ln(80::DOUBLE) - 80 * s{i})" for i in range(6))
+    return f"""{DATA}, parts AS (SELECT geography, 0.2 + 0.5 * avg(estimate) AS mu_a, 0.01 + avg(uci - lci) AS mu_m,
+         20 + 10 * max(estimate) AS k, 0.2 + 0.2 * min(uci) AS tau, 300 + count(*)::DOUBLE AS d,
+         {", ".join(f"0.001 * (count(*) + {i}) AS s{i}" for i in range(6))} FROM data GROUP BY geography)
+       SELECT geography, round({beta("mu_a", 100.0, 180.0)} + {beta("tau", 100.0, 225.0)} + {gamma("mu_m", 2.0, 25.0)}
+         + {gamma("k", 150.0, 6.0)} + {gamma("d", 1000.0, 3.0)} + {scales}, 6) AS log_prior FROM parts"""
+
+
+@query("log_prior", _prior_sql())
+def prior_density(spark, sf_dir):
+    """Log prior density at one set of parameters for every geography."""
+    n = F.count(F.lit(1))
+    parts = clean_panel(spark, sf_dir).groupBy("geography").agg(
+        (0.2 + 0.5 * F.avg("estimate")).alias("muA"),
+        (0.01 + F.avg(F.col("uci") - F.col("lci"))).alias("muM"),
+        (20 + 10 * F.max("estimate")).alias("K"),
+        (0.2 + 0.2 * F.min("uci")).alias("tau"),
+        (300 + n.cast("double")).alias("D"),
+        *[(0.001 * (n + i)).alias(f"s{i}") for i in range(6)],
+    )
+    shared = [F.col(c) for c in ("muA", "muM", "K", "tau", "D")]
+    scales = [F.col(f"s{i}") for i in range(6)]
+    density = log_prior(PRIOR, *shared, scales[:3], scales[3:])
+    return parts.select("geography", F.round(density, 6).alias("log_prior"))
+
+
+@query(
+    "forecast_cutoffs",
+    f"""{DATA} SELECT geography, time_end, season, {MONTH} AS month, season < '{SCORED_SEASON}' AS to_train,
+         season >= '{SCORED_SEASON}' AS to_forecast FROM data""",
+)
+def forecast_cutoffs(spark, sf_dir):
+    """What a forest knows of a forecast date, and which rows it trains on and forecasts."""
+    day = F.col("time_end")
+    label = to_season(day, **SEASON.bounds)
+    return clean_panel(spark, sf_dir).select(
+        "geography",
+        "time_end",
+        label.alias("season"),
+        month_in_season(day, SEASON.start_month).alias("month"),
+        (label < F.lit(SCORED_SEASON)).alias("to_train"),
+        (label >= F.lit(SCORED_SEASON)).alias("to_forecast"),
+    )
+
+
+@query(
+    "complete_panel",
+    f"""{_complete_sql()} SELECT o_orderpriority, count(DISTINCT (season, geography)) AS n_rows,
+         count(y) AS n_values, count(*) - count(y) AS n_nulls FROM full_cells GROUP BY ALL""",
+)
+def complete_panel(spark, sf_dir):
+    """Rows and values of each panel after imputation, behind the checks for columns and nulls."""
+    data = clean_panel(spark, sf_dir, PANELS)
+    require_columns(data, [*PANELS, "season", "geography", "time_end", "estimate"])
+    rows = prep.month_column(data, SEASON)
+    months = reshape.months_present(rows)
+    full = cut_lineage(
+        knn_impute(reshape.pivot_months(rows, months, group_cols=PANELS), months, PANELS)
+    )
+    values = reduce(Column.__add__, [F.count(F.col(str(m))) for m in months])
+    return require_no_nulls(full).groupBy(*PANELS).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        values.alias("n_values"),
+        (F.count(F.lit(1)) * len(months) - values).alias("n_nulls"),
+    )
+
+
 # Model fits: no SQL; simulated panels with known parameters check them. --------------------
 
-PRIOR = {
-    "seed": 42, "muA_shape1": 100.0, "muA_shape2": 180.0, "sigmaA_rate": 80.0,
-    "tau_shape1": 100.0, "tau_shape2": 225.0, "K_shape": 150.0, "K_rate": 6.0,
-    "muM_shape": 2.0, "muM_rate": 25.0, "sigmaM_rate": 80.0, "D_shape": 1000.0, "D_rate": 3.0,
-    "num_samples": 500, "num_chains": 4,
-}
-PANELS = ("o_orderpriority",)
 
 
 def _fitted_curves(spark: SparkSession, sf_dir: str, panels: tuple[str, ...] = PANELS) -> CurveModel:
@@ -776,20 +882,100 @@ def curve_forecast(spark, sf_dir):
     return _fitted_curves(spark, sf_dir).predict()
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> ForestModel:
+def _forest(
+    spark: SparkSession, sf_dir: str, params: dict, panels: tuple[str, ...] = ()
+) -> ForestModel:
     return ForestModel(
-        data=cut_lineage(clean_panel(spark, sf_dir)),
+        data=cut_lineage(clean_panel(spark, sf_dir, panels)),
         forecast_dates=FORECAST_DATES,
-        params={"n_estimators": 100, "seed": 1},
+        params=params,
         season=SEASON,
         quantiles=interval_quantiles(ALPHA),
-    ).fit()
+        group_cols=panels,
+    )
 
 
 @query("forest_forecast")
 def forest_forecast(spark, sf_dir):
-    """Forecast quantiles of the later months by forests."""
-    return _forest(spark, sf_dir).predict()
+    """Forecast quantiles of the later months by a forest."""
+    return _forest(spark, sf_dir, {"n_estimators": 100, "seed": 1}).fit().predict()
+
+
+# One split of the whole training table, found by trying every test on it.
+STUMPS = """,
+cutoffs(forecast_date, last_given) AS (VALUES (DATE '1999-10-01', 3), (DATE '1999-12-01', 5), (DATE '2000-03-01', 8)),
+train AS (SELECT * FROM full_cells WHERE season < '1999/2000'),
+places AS (SELECT DISTINCT o_orderpriority, season, geography FROM full_cells),
+features AS (
+  SELECT *, 0 AS f, season AS label, NULL::DOUBLE AS x FROM places
+  UNION ALL SELECT *, 1, geography, NULL FROM places
+  UNION ALL SELECT o_orderpriority, season, geography, 2 + m, NULL, y FROM full_cells),
+sums AS (SELECT o_orderpriority, f, label, x, t.m, count(*) AS n, sum(t.y) AS p
+  FROM features JOIN train t USING (o_orderpriority, season, geography) GROUP BY ALL),
+tests AS (
+  SELECT o_orderpriority, f, label, NULL::DOUBLE AS threshold, m, n, p FROM sums WHERE f < 2
+  UNION ALL
+  SELECT * FROM (SELECT o_orderpriority, f, NULL, (x + lead(x) OVER up) / 2 AS threshold, m,
+    sum(n) OVER up AS n, sum(p) OVER up AS p FROM sums WHERE f >= 2
+    WINDOW up AS (PARTITION BY o_orderpriority, f, m ORDER BY x)) WHERE threshold IS NOT NULL),
+whole AS (SELECT o_orderpriority, m, count(*) AS n_all, sum(y) AS t, sum(y * y) AS q FROM train GROUP BY ALL),
+losses AS (SELECT o_orderpriority, forecast_date, last_given, f, label, threshold,
+    -round(sum(p * p / n + (t - p) * (t - p) / (n_all - n) - t * t / n_all) / sum(q - t * t / n_all), 9) AS loss
+  FROM cutoffs JOIN tests ON m > last_given AND f <= 2 + last_given JOIN whole USING (o_orderpriority, m)
+  WHERE n < n_all GROUP BY ALL),
+splits AS (SELECT * FROM losses QUALIFY row_number() OVER
+  (PARTITION BY o_orderpriority, forecast_date ORDER BY loss, f, label, threshold) = 1),
+sides AS (SELECT o_orderpriority, season, geography, forecast_date, last_given,
+    CASE WHEN s.f < 2 THEN r.label = s.label ELSE r.x > s.threshold END AS passes
+  FROM splits s JOIN features r USING (o_orderpriority, f)),
+leaves AS (SELECT o_orderpriority, forecast_date, passes, m, avg(y) AS estimate
+  FROM sides JOIN train USING (o_orderpriority, season, geography) WHERE m > last_given GROUP BY ALL),
+dated AS (SELECT DISTINCT o_orderpriority, season, time_end, {month} AS m FROM data),
+stumps AS (SELECT o_orderpriority, forecast_date, season, geography, quantile, time_end, round(estimate, 9) AS estimate
+  FROM sides JOIN leaves USING (o_orderpriority, forecast_date, passes)
+    LEFT JOIN dated USING (o_orderpriority, season, m), (VALUES (0.5::DOUBLE), (0.025::DOUBLE), (0.975::DOUBLE)) AS q(quantile)
+  WHERE season >= '1999/2000')
+SELECT * FROM stumps"""
+STUMP = {"n_estimators": 3, "bootstrap": False, "max_depth": 1}
+STUMP_SQL = _complete_sql() + STUMPS.format(month=MONTH)
+
+
+def _rounded(forecasts: DataFrame) -> DataFrame:
+    return forecasts.withColumn("estimate", F.round("estimate", 9))
+
+
+@query("forest_stump", STUMP_SQL)
+def forest_stump(spark, sf_dir):
+    """Forecasts of every panel and date by trees of one split, which SQL finds by trying all."""
+    return _rounded(_forest(spark, sf_dir, STUMP, PANELS).fit().predict())
+
+
+@query("forest_reloaded", STUMP_SQL)
+def forest_reloaded(spark, sf_dir):
+    """The same from a model that was saved and loaded."""
+    path = scratch_path(spark, "saved")
+    _forest(spark, sf_dir, STUMP, PANELS).fit().save(path)
+    return _rounded(_forest(spark, sf_dir, STUMP, PANELS).load(spark, path).predict())
+
+
+@query(
+    "stump_scores",
+    STUMP_SQL.replace("SELECT * FROM stumps", "")
+    + f"""SELECT o_orderpriority, season, geography, 'RFModel' AS model, forecast_date, 'eos_abs_diff' AS score_fun,
+         round(abs(s.estimate - o.estimate), 6) AS score_value
+       FROM stumps s JOIN (SELECT o_orderpriority, season, geography, time_end, estimate FROM data
+         QUALIFY time_end = max(time_end) OVER (PARTITION BY o_orderpriority, season, geography)) o
+       USING (o_orderpriority, season, geography, time_end) WHERE quantile = 0.5 AND season = '{SCORED_SEASON}'""",
+)
+def stump_scores(spark, sf_dir):
+    """Configured models fitted by name for all panels and dates, forecast and scored."""
+    data = cut_lineage(clean_panel(spark, sf_dir, PANELS))
+    fitted = fit_all_models(
+        data, FORECAST_DATES, [ModelConfig("RFModel", STUMP)], SEASON, interval_quantiles(ALPHA), PANELS
+    )
+    preds = cut_lineage(predict_all_models(fitted, PANELS))
+    scores = score_forecast_season(data, preds, SEASON, [*PANELS, "season", "geography"])
+    return scores.withColumn("score_value", F.round("score_value", 6))
 
 
 @query("forecast_scores")
