@@ -162,20 +162,33 @@ def scale_sums(
     return np.array(out)
 
 
-def update_scale(sum_squares: float, effective: float, rate: float) -> float:
-    """Mode of log sigma given its effects, with an exponential prior on sigma."""
-    roots = np.roots([rate, effective - 1.0, 0.0, -max(sum_squares, 1e-12)])
-    return float(max(r.real for r in roots if abs(r.imag) <= 1e-9 * abs(r)))
+def scale_pull(sum_squares: float, effective: float, sigma: float, rate: float) -> float:
+    """How far log sigma is from its mode, with an exponential prior on sigma: slope of its log
+    density over an estimate of the curvature, which does not vanish where a scale is barely known."""
+    slope = sum_squares / sigma**2 - effective + 1 - rate * sigma
+    return float(slope / max(2 * effective + rate * sigma, 1.0))
 
 
-def secant_step(pull: np.ndarray, last_pull: np.ndarray, last_step: np.ndarray) -> np.ndarray:
-    """Step of a fixed-point iteration that learns from its last step, entry by entry.
+def secant_slope(pull: np.ndarray, last_pull: np.ndarray, last_step: np.ndarray) -> np.ndarray:
+    """By how much of a step the pull gives way, entry by entry, as seen in the last step.
 
-    Where the last step hardly changed the pull, go further; where it turned it around, go less.
+    Below one where the last step hardly changed the pull, above where it turned it around.
     """
     known = np.abs(last_step) > 1e-4
     slope = np.where(known, (last_pull - pull) / np.where(known, last_step, 1.0), 1.0)
-    return np.clip(pull / np.clip(slope, 0.5, 2.5), -0.4, 0.4)
+    return np.clip(slope, 0.25, 4.0)
+
+
+def damping(step: np.ndarray, last_step: np.ndarray, last_damping: float, cov: np.ndarray) -> float:
+    """Part of a Newton step to go, as the last one went too far or not.
+
+    The information leaves out the bend of the curve in K and tau. Where many observations speak
+    against the curve, whole steps overshoot by more than they mend.
+    """
+    weight = np.linalg.solve(cov, last_step)
+    length = last_damping * float(weight @ last_step)
+    bend = float(weight @ (last_step - step)) / length if length > 1e-12 else 1.0
+    return float(np.clip(1 / bend, 0.1, 1.0)) if bend > 1 else 1.0
 
 
 def _theta_system(

@@ -354,3 +354,52 @@ def test_a_skewed_posterior_shows_in_the_weights(spark):
     found = {r.panel: r for r in fitted.summary().filter("parameter = 'muA'").collect()}
     assert found["poor"]["tail_index"] > 0 and found["p0"]["tail_index"] > 0
     assert 1 <= found["poor"]["effective_draws"] <= 200 and 1 <= found["p0"]["effective_draws"] <= 200
+
+
+def test_a_fit_settles_on_many_observations_against_the_curve(spark):
+    # Shares that grow steadily, alike everywhere: no bend, and hardly any effects.
+    rng = np.random.default_rng(0)
+    rows = []
+    for s in range(3):
+        for g in range(5):
+            n = rng.poisson(5000, 10)
+            share = np.cumsum(rng.binomial(n, 1 / 3)) / n.sum()
+            for m in range(10):
+                day = dt.date(2010 + s + (m > 5), (m + 6) % 12 + 1, 1)
+                rows.append(("p", f"g{g}", day, float(share[m]), int(n[m]), f"{2010 + s}/{2011 + s}"))
+    data = spark.createDataFrame(
+        rows,
+        "panel string, geography string, time_end date, estimate double, N_tot int, season string",
+    )
+    curves = model(data, [dt.date(2013, 4, 1)])
+    fits, _ = curve_fit.fit_curves(
+        curves.rows, curves.forecast_dates, curves.seasons, curves.prior, ["panel"], max_passes=30
+    )
+    fit = fits.first()
+    assert fit["converged"]
+    assert max(np.abs(fit["pull"])) < 0.03
+
+
+def test_damping_ends_an_overshoot():
+    # Whole steps overshoot in the first direction, by a little more each time.
+    bend, cov = np.array([2.1, 1.0, 0.9]), np.diag([1.0, 4.0, 0.25])
+    x = np.array([1.0, 1.0, 1.0])
+    last, part = np.zeros(3), 1.0
+    for _ in range(12):
+        step = -bend * x
+        part = cm.damping(step, last, part, cov)
+        x, last = x + part * step, step
+    assert np.abs(x).max() < 1e-3
+
+
+def test_scales_reach_their_mode():
+    # 25 effects seen with variance v; the mode solves one equation, known or hardly known.
+    for squares, v in ((25 * 4e-4, 1e-6), (25e-8, 1e-7), (25e-6, 1e-2)):
+        sigma, pull, drift = 0.0125, 0.0, 0.0
+        for _ in range(25):
+            kept = sigma**2 / (sigma**2 + v)
+            last, pull = pull, cm.scale_pull(squares * kept**2, 25 * kept, sigma, 80.0)
+            slope = cm.secant_slope(*np.array([[pull], [last], [drift]]))[0]
+            drift = float(np.clip(pull / slope, -0.4, 0.4))
+            sigma *= np.exp(drift)
+        assert abs(pull) < 1e-3
