@@ -36,8 +36,8 @@ BLOCK_LINKS, BLOCK_DOCS = 1_000_000, 4_096
 BASE = 1 << 31
 
 _CHUNK = re.compile(r" +[^ ]*")
-# Other white space, then blanks that the first tokenizer may put into one token with it.
-_NOT_ALONE = re.compile(r"[^\S ] (?: |$)")
+# Other white space, a blank, and white space again: the first tokenizer may make one token of it.
+_NOT_ALONE = re.compile(r"[^\S ] (?:\s|$)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 

@@ -171,3 +171,9 @@ def test_cases(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert align_tokens(nothing, *FILES).count() == 0
     assert align_tokens(spark.createDataFrame(rows[3:5], SCHEMA), *FILES).count() == 2
+
+
+@pytest.mark.parametrize("text", ["\xa0 \xa0", "x\xa0 \xa0\r  ", "\xa0 \xa0\n..", "a\xa0 \xa0 b"])
+def test_white_space_joined_across_a_blank(libraries, text):
+    own = TokenizerPair(*FILES).tokens([text])[0]
+    assert own.a.tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
