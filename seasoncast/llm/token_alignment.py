@@ -3,7 +3,8 @@
 Both tokenizations of a text are arrays of end offsets. Where the ends at the current indices are
 equal, probes of doubling length compare both arrays at the current index shift and jump the whole
 one-to-one stretch. Where they differ, the group is walked up to the next common end, which
-updates the shift. Overlapping tokens are linked. How often an id pair is linked in the corpus is
+updates the shift. Each end met is a move; groups and links are read off the moves as arrays.
+Overlapping tokens are linked. How often an id pair is linked in the corpus is
 counted over blocks of documents: a block's different pairs are far fewer than its links.
 """
 
@@ -11,8 +12,7 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence, Sized
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -99,8 +99,14 @@ class Tokenized(NamedTuple):
     b: np.ndarray
 
 
-def _packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``starts``, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def _sizes(found: Iterable[Sized]) -> np.ndarray:
+    return np.fromiter(map(len, found), np.int64)
 
 
 class TokenizerPair:
@@ -115,52 +121,93 @@ class TokenizerPair:
     ):
         self.first, self.second = ByteTokenizer(first, pattern), PieceTokenizer(second)
         self.limit, self.longest = limit, longest
-        self._known: dict[str, tuple[bytes, bytes | None]] = {}
-        self._older: dict[str, tuple[bytes, bytes | None]] = {}
+        # By chunk, as bytes of 32-bit integers: how many ids of the first, those ids, those of the
+        # second. Empty if the second does not give the chunk back. Keys lack their first blank.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         most = max(len(self.first.lengths), len(self.second.lengths))
-        self.decimals = [str(i) for i in range(most)]
-
-    def _look_up(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes | None]]:
-        """Ids of both for each chunk; none of the second where it does not give the bytes back."""
+        self.decimals = np.arange(most).astype("S")
+
+    def _chunks(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self.second.by_chunk:
+            return [text]
+        spaced = " " + text
+        if "  " in spaced:
+            return [c[1:] for c in _CHUNK.findall(spaced)]
+        return text.split(" ")
+
+    def _learn(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The first tokenizer reads the chunks in a row, if no token can cross them."""
+        spaced = [" " + c for c in chunks]
+        raw, row = [c.encode() for c in spaced], "".join(spaced)
+        if not self.second.by_chunk or "  " in row or _NOT_ALONE.search(row):
+            firsts = [self.first.encode(c) for c in spaced]
+            a, n_a = np.array([*chain.from_iterable(firsts)], np.int32), _sizes(firsts)
+        else:
+            a = np.array(self.first.encode(row), np.int32)
+            ends = np.cumsum(self.first.lengths[a])
+            n_a = np.diff(np.searchsorted(ends, np.cumsum(_sizes(raw))) + 1, prepend=0)
+        seconds = self.second.encode_all(spaced)
+        b, n_b = np.array([*chain.from_iterable(seconds)], np.int32), _sizes(seconds)
+        stops = np.cumsum(1 + n_a + n_b)
+        starts = stops - 1 - n_a - n_b
+        flat = np.empty(len(chunks) + len(a) + len(b), np.int32)
+        flat[starts] = n_a
+        flat[_ranges(starts + 1, n_a)] = a
+        flat[_ranges(starts + 1 + n_a, n_b)] = b
+        packed, i = flat.tobytes(), 0
+        spelled = self.second.bytes.__getitem__
+        for chunk, r, ids, i_to in zip(chunks, raw, seconds, (4 * stops).tolist()):
+            same = b"".join(map(spelled, ids)) == r
+            yield chunk, packed[i:i_to] if same else b""
+            i = i_to
+
+    def _look_up(self, chunks: Iterable[str]) -> list[bytes]:
         known, older, fresh = self._known, self._older, []
-        for chunk in chunks.difference(known):
-            if chunk in older:
-                known[chunk] = older[chunk]
-            else:
-                fresh.append(chunk)
-        out = known
+        found = {}
+        for chunk in chunks:
+            own = known.get(chunk)
+            if own is None:
+                own = older.get(chunk)
+                if own is None:
+                    fresh.append(chunk)
+                else:
+                    known[chunk] = own
+            found[chunk] = own
         if fresh:
-            if any(len(c) > self.longest for c in fresh):
-                out = dict(known)
-            spelled = self.second.bytes.__getitem__
-            for chunk, b in zip(fresh, self.second.encode_all(fresh)):
-                same = b"".join(map(spelled, b)) == chunk.encode()
-                out[chunk] = _packed(self.first.encode(chunk)), _packed(b) if same else None
-                if len(chunk) <= self.longest:
-                    known[chunk] = out[chunk]
+            for chunk, own in self._learn(fresh):
+                found[chunk] = own
+                if len(chunk) < self.longest:
+                    known[chunk] = own
         if len(known) >= self.limit:
             self._known, self._older = {}, known
-        return out
+        return list(found.values())
 
     def tokens(self, texts: list[str | None]) -> list[Tokenized | None]:
         """None for null and empty texts, and for those that the second does not give back."""
-        spaced = [" " + t if t else "" for t in texts]
-        split = _CHUNK.findall if self.second.by_chunk else lambda t: [t] if t else []
-        chunked = [split(t) for t in spaced]
-        known = self._look_up(set(chain.from_iterable(chunked)))
+        chunked = [self._chunks(t) for t in texts]
+        place = {c: n for n, c in enumerate(dict.fromkeys(chain.from_iterable(chunked)))}
+        found = self._look_up(place)
+        flat = np.frombuffer(b"".join(found), np.int32)
+        sizes = _sizes(found) // 4
+        lost = sizes == 0
+        starts = np.cumsum(sizes) - sizes
+        n_a = np.zeros(len(found), np.int64)
+        n_a[~lost] = flat[starts[~lost]]
+        n_b = np.maximum(sizes - 1, 0) - n_a
         out: list[Tokenized | None] = []
-        for text, chunks in zip(spaced, chunked):
-            parts = list(map(known.__getitem__, chunks))
-            seconds = [b for _, b in parts]
-            if not text or None in seconds:
+        for text, chunks in zip(texts, chunked):
+            at = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
+            if not chunks or lost[at].any():
                 out.append(None)
                 continue
             if self.second.by_chunk and _NOT_ALONE.search(text):
-                a = _packed(self.first.encode(text))
+                a = np.array(self.first.encode(" " + text), np.int32)
             else:
-                a = b"".join([a for a, _ in parts])
-            b = b"".join(seconds)
-            out.append(Tokenized(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)))
+                a = flat[_ranges(starts[at] + 1, n_a[at])]
+            out.append(Tokenized(a, flat[_ranges(starts[at] + 1 + n_a[at], n_b[at])]))
         return out
 
 
@@ -171,7 +218,7 @@ def _pair(first: str, pattern: str, second: str) -> TokenizerPair:
 
 def stretch(a: list[int], b: list[int], i: int, j: int) -> int:
     """Length of the one-to-one stretch at ``i, j``, where ends are equal, at the shift ``j - i``."""
-    n = step = 1
+    n, step = 1, 8
     while True:
         part, other = a[i + n : i + n + step], b[j + n : j + n + step]
         if part != other or not part:
@@ -192,46 +239,65 @@ class Aligned(NamedTuple):
     pairs: np.ndarray  # a * BASE + b for every link
 
 
-def align(
-    tokens: Tokenized, a_ends: list[int], b_ends: list[int], decimals: Sequence[str]
-) -> Aligned:
-    """Groups between common ends, and all overlapping tokens. Both end at the same offset."""
-    a, b = tokens.a.tolist(), tokens.b.tolist()
-    a_names, b_names = ([decimals[i] for i in ids] for ids in (a, b))
-    i = j = n_groups = 0
-    last = len(a)
-    out: list[str] = []
-    left: list[int] = []
-    right: list[int] = []
+#: What ends at a link: its first token, its second, or both.
+A_ENDS, B_ENDS, BOTH_END = b"\1", b"\2", b"\3"
+
+
+def walk(a_ends: list[int], b_ends: list[int]) -> bytearray:
+    """What ends at each link, in order. Both end at the same offset."""
+    i = j = 0
+    last = len(a_ends)
+    moves = bytearray()
     while i < last:
         x, y = a_ends[i], b_ends[j]
         if x == y:
             n = stretch(a_ends, b_ends, i, j)
-            left += a[i : i + n]
-            right += b[j : j + n]
-            out += map("|".join, zip(a_names[i : i + n], b_names[j : j + n]))
-            n_groups += n
+            moves += BOTH_END * n
             i += n
             j += n
-            continue
-        at_i, at_j = i, j
-        left.append(a[i])
-        right.append(b[j])
-        while x != y:
-            if x < y:
-                i += 1
-                x = a_ends[i]
-            else:
-                j += 1
-                y = b_ends[j]
-            left.append(a[i])
-            right.append(b[j])
-        i += 1
-        j += 1
-        out.append(",".join(a_names[at_i:i]) + "|" + ",".join(b_names[at_j:j]))
-        n_groups += 1
-    pairs = np.array(left, dtype=np.int64) * BASE + np.array(right, dtype=np.int64)
-    return Aligned(";".join(out), n_groups, pairs)
+        elif x < y:
+            moves += A_ENDS
+            i += 1
+        else:
+            moves += B_ENDS
+            j += 1
+    return moves
+
+
+def listed(
+    tokens: Tokenized, a_stops: np.ndarray, b_stops: np.ndarray, decimals: np.ndarray
+) -> str:
+    """Ids of groups that end before ``a_stops`` and ``b_stops``, as ``a1,a2|b1;a3|b2,b3``."""
+    a_sizes, b_sizes = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
+    a_starts, b_starts = a_stops - a_sizes, b_stops - b_sizes
+    ids = np.empty(len(tokens.a) + len(tokens.b), dtype=np.int32)
+    ids[np.arange(len(tokens.a)) + np.repeat(b_starts, a_sizes)] = tokens.a
+    ids[np.arange(len(tokens.b)) + np.repeat(a_stops, b_sizes)] = tokens.b
+    # A row is what stands before an id, the id's digits, and zeros that are left out.
+    width = decimals.itemsize
+    shown = np.empty((len(ids), 1 + width), dtype=np.uint8)
+    shown[:, 0] = ord(",")
+    shown[a_starts + b_starts, 0] = ord(";")
+    shown[a_stops + b_starts, 0] = ord("|")
+    shown[:, 1:] = decimals[ids].view(np.uint8).reshape(-1, width)
+    return shown[shown != 0][1:].tobytes().decode()
+
+
+def align(
+    tokens: Tokenized,
+    a_ends: list[int],
+    b_ends: list[int],
+    decimals: np.ndarray | Sequence[str],
+) -> Aligned:
+    """Groups between common ends, and all overlapping tokens. Both end at the same offset."""
+    moves = np.frombuffer(walk(a_ends, b_ends), np.uint8)
+    a_moves, b_moves = moves & A_ENDS[0] != 0, moves & B_ENDS[0] != 0
+    a_stops, b_stops = np.cumsum(a_moves), np.cumsum(b_moves)
+    pairs = tokens.a[a_stops - a_moves] * np.int64(BASE) + tokens.b[b_stops - b_moves]
+    both = a_moves & b_moves
+    a_stops, b_stops = a_stops[both], b_stops[both]
+    groups = listed(tokens, a_stops, b_stops, np.asarray(decimals, dtype="S"))
+    return Aligned(groups, len(a_stops), pairs)
 
 
 class _Block:
@@ -276,7 +342,7 @@ class _Block:
             (pa.int64(), pairs),
             (pa.int64(), many),
         ]
-        arrays = [pa.array([list(c)], pa.list_(t)) for t, c in columns]
+        arrays = [pa.ListArray.from_arrays([0, len(c)], pa.array(c).cast(t)) for t, c in columns]
         return pa.record_batch([pa.array([name], pa.int64()), *arrays], names=_NAMES)
 
 

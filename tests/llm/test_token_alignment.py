@@ -177,3 +177,35 @@ def test_cases(spark):
 def test_white_space_joined_across_a_blank(libraries, text):
     own = TokenizerPair(*FILES).tokens([text])[0]
     assert own.a.tolist() == libraries[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_new_chunks_are_read_in_a_row_and_kept(monkeypatch):
+    pair, read = TokenizerPair(*FILES), []
+    encode = pair.first.encode
+    monkeypatch.setattr(pair.first, "encode", lambda text: read.append(text) or encode(text))
+    words = [f"w{i}é" for i in range(1000)]
+    got = pair.tokens([" ".join(words), None, " ".join(reversed(words))])
+    assert len(read) == 1 and got[1] is None
+    assert got[0].a.tolist() == encode(" " + " ".join(words))
+    assert pair.tokens([" ".join(words)])[0].b.tolist() == got[0].b.tolist() and len(read) == 1
+    lost = TokenizerPair(*FILES)
+    lost.second.bytes = [b"?" if b == b" the" else b for b in lost.second.bytes]
+    own = lost.tokens(["a the b", "a b", "the"])
+    assert own[0] is own[2] is None and own[1].a.tolist() == encode(" a b")
+
+
+def test_long_and_wide_groups_against_plain(libraries):
+    rng = random.Random(9)
+    pair = TokenizerPair(*FILES)
+    for _ in range(60):
+        parts = rng.choices(["the ", "of", "日本", " 🙂", "xq", "1234", "é", "  "], k=rng.randint(1, 60))
+        text = "".join(parts)
+        a, b, groups, links = plain(libraries, text)
+        own = pair.tokens([text])[0]
+        if own is None:
+            assert not links
+            continue
+        ends = (np.cumsum(t.lengths[x]).tolist() for t, x in zip((pair.first, pair.second), own))
+        got = align(own, *ends, pair.decimals)
+        assert (got.groups, got.n_groups) == (groups, groups.count(";") + 1)
+        assert got.pairs.tolist() == [x * token_alignment.BASE + y for x, y in links]
