@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -32,6 +33,8 @@ from seasoncast.sources.shared import cut_lineage
 
 #: Links and documents of a block.
 BLOCK_LINKS, BLOCK_DOCS = 1_000_000, 4_096
+#: Bytes of text that are tokenised at once, besides the document that reaches them.
+SLICE_BYTES = 1 << 20
 #: An id pair is one number: the first id times this, plus the second.
 BASE = 1 << 31
 
@@ -112,21 +115,31 @@ def _sizes(found: Iterable[Sized]) -> np.ndarray:
 class TokenizerPair:
     """Both tokenizations of texts, with a memo for what stands between blanks.
 
-    Chunks of up to ``longest`` characters are kept until ``limit`` newer ones were met; results
-    never depend on what is kept.
+    Chunks of up to ``longest`` characters are kept until ``limit`` newer ones, or ``room`` bytes
+    of their ids, were met; results never depend on what is kept.
     """
 
     def __init__(
-        self, first: str, pattern: str, second: str, limit: int = 200_000, longest: int = 64
+        self,
+        first: str,
+        pattern: str,
+        second: str,
+        limit: int = 100_000,
+        longest: int = 64,
+        room: int = 8 << 20,
     ):
         self.first, self.second = ByteTokenizer(first, pattern), PieceTokenizer(second)
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.room = limit, longest, room
         # By chunk, as bytes of 32-bit integers: how many ids of the first, those ids, those of the
         # second. Empty if the second does not give the chunk back. Keys lack their first blank.
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._held = 0
         most = max(len(self.first.lengths), len(self.second.lengths))
-        self.decimals = np.arange(most).astype("S")
+        self.decimals = np.arange(most).astype(f"S{len(str(most - 1))}")
+
+    def forget(self) -> None:
+        self._known, self._older, self._held = {}, {}, 0
 
     def _chunks(self, text: str | None) -> list[str]:
         if not text:
@@ -175,14 +188,16 @@ class TokenizerPair:
                     fresh.append(chunk)
                 else:
                     known[chunk] = own
+                    self._held += len(own)
             found[chunk] = own
         if fresh:
             for chunk, own in self._learn(fresh):
                 found[chunk] = own
                 if len(chunk) < self.longest:
                     known[chunk] = own
-        if len(known) >= self.limit:
-            self._known, self._older = {}, known
+                    self._held += len(own)
+        if len(known) >= self.limit or self._held >= self.room:
+            self._known, self._older, self._held = {}, known, 0
         return list(found.values())
 
     def tokens(self, texts: list[str | None]) -> list[Tokenized | None]:
@@ -300,6 +315,19 @@ def align(
     return Aligned(groups, len(a_stops), pairs)
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from zero on, compressed; a byte tells the size of each, the least for the largest."""
+    small = numbers.astype(np.min_scalar_type(numbers.max(initial=0)))
+    return bytes([small.itemsize]) + pa.compress(small.tobytes(), codec="zstd", asbytes=True)
+
+
+def widened(raw: bytes, many: int) -> np.ndarray:
+    """The ``many`` numbers that ``narrow`` was given."""
+    size = raw[0]
+    whole = pa.decompress(raw[1:], decompressed_size=size * many, codec="zstd", asbytes=True)
+    return np.frombuffer(whole, f"u{size}").astype(np.int64)
+
+
 class _Block:
     """Documents whose links are counted together; one row of the table of blocks."""
 
@@ -307,7 +335,9 @@ class _Block:
         self.ids: list[int | None] = []
         self.counts: list[tuple[int, int, int, int]] = []
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
+        # Of each document, its different pairs and the number of links of each.
+        self.pairs: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
         self.n_links = 0
 
     def add(self, doc_id: int | None, tokens: Tokenized | None, aligned: Aligned | None) -> None:
@@ -317,17 +347,20 @@ class _Block:
         n_groups = aligned.n_groups if aligned else 0
         a, b = tokens or ((), ())
         self.counts.append((len(a), len(b), n_groups, len(own)))
-        self.links.append(own)
+        pairs, times = np.unique(own, return_counts=True)
+        self.pairs.append(pairs)
+        self.times.append(times.astype(np.int32))
         self.n_links += len(own)
 
     def row(self, name: int) -> pa.RecordBatch:
         """``pairs`` are the block's different id pairs and ``many`` their links; each document
-        has its different pairs as places in ``pairs``, with the number of its links."""
-        pairs, place = np.unique(np.concatenate(self.links), return_inverse=True)
-        many = np.bincount(place, minlength=len(pairs))
-        doc = np.repeat(np.arange(len(self.links)), [len(x) for x in self.links])
-        own, times = np.unique(doc * max(1, len(pairs)) + place, return_counts=True)
-        sizes = np.bincount(own // max(1, len(pairs)), minlength=len(self.links))
+        has its different pairs as ``places`` in ``pairs``, with the number of its links. Those
+        two are most of a row, and narrow: executors hold many rows at once."""
+        sizes = _sizes(self.pairs)
+        pairs, places = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        times = np.concatenate(self.times)
+        many = np.zeros(len(pairs), dtype=np.int64)
+        np.add.at(many, places, times)
         n_a, n_b, n_groups, n_links = zip(*self.counts)
         columns = [
             (pa.int64(), self.ids),
@@ -337,28 +370,37 @@ class _Block:
             (pa.int64(), n_groups),
             (pa.int64(), n_links),
             (pa.int32(), sizes),
-            (pa.int32(), own % max(1, len(pairs))),
-            (pa.int32(), times),
             (pa.int64(), pairs),
             (pa.int64(), many),
         ]
         arrays = [pa.ListArray.from_arrays([0, len(c)], pa.array(c).cast(t)) for t, c in columns]
-        return pa.record_batch([pa.array([name], pa.int64()), *arrays], names=_NAMES)
+        packed = [pa.array([narrow(x)], pa.binary()) for x in (places, times)]
+        return pa.record_batch([pa.array([name], pa.int64()), *arrays, *packed], names=_NAMES)
 
 
 _BLOCKS = (
     "block long, ids array<long>, groups array<string>, n_a array<long>, n_b array<long>, "
-    "n_groups array<long>, n_links array<long>, sizes array<int>, places array<int>, "
-    "times array<int>, pairs array<long>, many array<long>"
+    "n_groups array<long>, n_links array<long>, sizes array<int>, pairs array<long>, "
+    "many array<long>, places binary, times binary"
 )
 _NAMES = [f.split(" ")[0] for f in _BLOCKS.split(", ")]
 
 
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices whose documents, but for the last, have less than ``SLICE_BYTES`` of text."""
+    for batch in slices(batches):
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0)
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        starts = [0, *(np.flatnonzero(np.diff(before // SLICE_BYTES)) + 1).tolist()]
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, stop - start)
+
+
 def _blocks(docs: DataFrame, files: tuple[str, str, str], digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files)
         task, many, block = TaskContext.get().partitionId(), 0, _Block()
-        for batch in slices(batches):
+        for batch in _by_size(batches):
             found = pair.tokens(batch.column(1).to_pylist())
             for doc_id, tokens in zip(batch.column(0).to_pylist(), found):
                 aligned = None
@@ -375,6 +417,8 @@ def _blocks(docs: DataFrame, files: tuple[str, str, str], digest: bool) -> DataF
                 if block.n_links >= BLOCK_LINKS or len(block.ids) >= BLOCK_DOCS:
                     yield block.row(task << 32 | many)
                     many, block = many + 1, _Block()
+        # The worker stays, and what it does next has no use for the memo.
+        pair.forget()
         if block.ids:
             yield block.row(task << 32 | many)
 
@@ -409,45 +453,40 @@ def align_tokens(
     blocks = _blocks(docs, (first, pattern, second), digest)
     counts = pair_counts(blocks)
     asked = blocks.select("block", F.posexplode("pairs").alias("at", "pair"))
-    known = (
-        asked.join(counts, "pair")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "count", "best"))).alias("known"))
-        .select(
-            "block",
-            F.transform("known", lambda x: x["count"]).alias("count"),
-            F.transform("known", lambda x: x["best"].cast("int")).alias("best"),
-        )
-    )
+    of_pair = F.struct("at", "count", F.col("best").cast("int").alias("best"))
+    known = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(of_pair).alias("known"))
+    packed = ["places", "times"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in slices(batches, 1):
-            one = {n: row.column(n).flatten() for n in row.schema.names}
-            times = np.asarray(one["times"], dtype=np.int64)
-            places = np.asarray(one["places"])
+            one = {n: row.column(n).flatten() for n in row.schema.names if n not in packed}
             doc = np.repeat(np.arange(len(one["ids"])), np.asarray(one["sizes"]))
+            places, times = (widened(row.column(n)[0].as_py(), len(doc)) for n in packed)
+            at, *of_pairs = map(np.asarray, one["known"].flatten())
 
-            def summed(name: str) -> pa.Array:
-                of_pair = np.asarray(one[name], dtype=np.int64)
+            def summed(of_pair: np.ndarray) -> pa.Array:
+                in_place = np.zeros(len(at), dtype=np.int64)
+                in_place[at] = of_pair
                 out = np.zeros(len(one["ids"]), dtype=np.int64)
-                if len(places):
-                    np.add.at(out, doc, of_pair[places] * times)
+                np.add.at(out, doc, in_place[places] * times)
                 return pa.array(out, pa.int64())
 
+            count, best = map(summed, of_pairs)
+
             yield pa.record_batch(
                 [
                     one["ids"],
                     *(one[n] for n in ("n_a", "n_b", "n_groups", "n_links")),
-                    summed("best"),
-                    summed("count"),
+                    best,
+                    count,
                     one["groups"],
                 ],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"],
             )
 
-    columns = ["ids", "groups", "n_a", "n_b", "n_groups", "n_links", "sizes", "places", "times"]
+    columns = ["ids", "groups", "n_a", "n_b", "n_groups", "n_links", "sizes", *packed]
     beside = blocks.select("block", *columns).join(known, "block", "left")
-    return beside.select(*columns, "count", "best").mapInArrow(
+    return beside.select(*columns, "known").mapInArrow(
         sums,
         "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
         "count_sum long, groups string",

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -209,3 +211,60 @@ def test_long_and_wide_groups_against_plain(libraries):
         got = align(own, *ends, pair.decimals)
         assert (got.groups, got.n_groups) == (groups, groups.count(";") + 1)
         assert got.pairs.tolist() == [x * token_alignment.BASE + y for x, y in links]
+
+
+def test_a_block_takes_little_memory():
+    rng = np.random.default_rng(3)
+    links = [rng.zipf(1.2, 1_400) % 10_000 for _ in range(700)] + [np.empty(0, np.int64)]
+    block = token_alignment._Block()
+    tracemalloc.start()
+    for n, own in enumerate(links):
+        ids = np.zeros(len(own), np.int32)
+        block.add(n, Tokenized(ids, ids), token_alignment.Aligned("x" * 64, 1, own.copy()))
+    batch = block.row(7)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    row = batch.to_pydict()
+    pairs, sizes = row["pairs"][0], row["sizes"][0]
+    # Before, all links of the block were held at once, and an entry took two numbers of 32 bits.
+    assert most < 32 << 20
+    assert batch.nbytes < 4 * sum(sizes) + 16 * len(pairs) + 150 * len(links)
+    places, times = (token_alignment.widened(row[n][0], sum(sizes)) for n in ("places", "times"))
+    stops = np.cumsum(sizes)
+    for own, start, stop in zip(links, stops - sizes, stops):
+        got = {pairs[p]: n for p, n in zip(places[start:stop], times[start:stop])}
+        assert got == Counter(own.tolist()) and len(got) == stop - start
+    assert dict(zip(pairs, row["many"][0])) == Counter(np.concatenate(links).tolist())
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [255, 1], [256, 0], [1 << 16], [(1 << 31) - 1, 3]])
+def test_narrow_numbers_come_back(numbers):
+    raw = token_alignment.narrow(np.array(numbers, dtype=np.int64))
+    assert token_alignment.widened(raw, len(numbers)).tolist() == numbers
+
+
+def test_memo_is_bounded_in_bytes_and_forgotten():
+    # Words of rare letters have many ids for few characters.
+    rng = random.Random(6)
+    texts = [" ".join("".join(chr(rng.randint(0xA000, 0xA400)) for _ in range(60)) for _ in range(40)) for _ in range(60)]
+    pair, whole = TokenizerPair(*FILES, room=100_000), TokenizerPair(*FILES)
+    for text in texts:
+        own, want = pair.tokens([text])[0], whole.tokens([text])[0]
+        assert own.a.tolist() == want.a.tolist() and own.b.tolist() == want.b.tolist()
+        for kept in (pair._known, pair._older):
+            assert sum(map(len, kept.values())) < 200_000
+    pair.forget()
+    assert not pair._known and not pair._older
+    assert pair.tokens(texts[:1])[0].a.tolist() == whole.tokens(texts[:1])[0].a.tolist()
+
+
+def test_long_texts_are_tokenised_few_at_once(monkeypatch):
+    monkeypatch.setattr(token_alignment, "SLICE_BYTES", 1_000)
+    texts = ["a" * 600, None, "b" * 600, "", "c" * 5_000, "é" * 400, "d", None, *["e" * 90] * 400]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    cut = list(token_alignment._by_size(iter([batch, batch.slice(0, 0), batch.slice(2, 3)])))
+    assert [r for b in cut for r in b["text"].to_pylist()] == texts + texts[2:5]
+    assert [r for b in cut for r in b["doc_id"].to_pylist()] == [*range(len(texts)), 2, 3, 4]
+    for b in cut:
+        sizes = [len(t.encode()) for t in b["text"].to_pylist() if t]
+        assert b.num_rows and sum(sizes[:-1]) < 1_000
