@@ -121,7 +121,7 @@ def test_recall_of_nn_descent(spark, n_rows, step, least):
     """Random unit vectors of 64 components, for which near and far hardly differ."""
     points = np.random.default_rng(n_rows).normal(size=(n_rows, 64))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
-    frame = pd.DataFrame({"vec_id": np.arange(n_rows), "embedding": list(points)})
+    frame = pd.DataFrame({"vec_id": np.arange(n_rows), "embedding": points.tolist()})
     got = nn_descent.search(spark.createDataFrame(frame), F.col("id") % step == 0, 10).collect()
     hits = 0
     for n in range(0, n_rows, step):
